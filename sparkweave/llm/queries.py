@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, licenses, line_dedup, mixing, ngram_join, quality, secrets
+from . import containment, licenses, line_dedup, mixing, ngram_join, quality, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
+    "op8_sharding": op8_sharding,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
 }
