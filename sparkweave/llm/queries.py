@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, licenses, line_dedup, lm_score, mixing, ngram_join, quality, secrets, sharding
+from . import containment, licenses, line_dedup, lm_score, mixing, ngram_join, quality, repeats, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup(table(spark, sf_dir, "pages")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_lm_score": op5_lm_score,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
