@@ -139,3 +139,26 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, in their own columns, whatever those are called."""
     packed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
     return judge(packed, rules, "_text").filter("kept").select("_row.*")
+
+
+#: DuckDB twin of judge() with RULES.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, E'\n'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS n
+      FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+c AS (SELECT r, count(DISTINCT p) AS n_repeat_words
+      FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY r),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(ls) AS n_lines,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+             len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}],
+                 lower(rtrim(x, '.,;:!?'))))) AS n_stop_words
+      FROM w LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS n FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n >= 2.0 AND word_chars / n <= 20.0 AND n_symbols / n <= 0.1
+       AND n_stop_words / n >= 0.02 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
+FROM b
+"""

@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op10_quality_rules": quality.ORACLE}
