@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +29,19 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register(
-    "ts_bucket_5m_by_type",
-    """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, event_type, count(*) AS n, sum(value) AS total
-       FROM events GROUP BY 1, 2""",
-)
-def _bucket(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy(F.window("ts", "5 minutes").start.alias("bucket"), "event_type").agg(
-        F.count("*").alias("n"), F.sum("value").alias("total")
-    )
+def register_sql(name: str, text: str, oracle: str | None = None) -> None:
+    """A query that is one SQL text over the tables; oracle where DuckDB spells it differently.
+
+    Tables are named as {orders}: each becomes a parameter bound to its DataFrame, so nothing is registered in the
+    session's catalog.
+    """
+    used = [t for t in TABLES if "{" + t + "}" in text]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+
+    QUERIES[name] = run
+    ORACLES[name] = oracle or text.format(**{t: t for t in TABLES})
+
+
+from .plans import arrays, graphs, keyvalue, promql, relational, scalars, search, series, spatial, streams  # noqa: E402, F401
