@@ -89,7 +89,7 @@ class Store:
     def append(self, df: DataFrame) -> int:
         """Store df as new shards and commit; the version."""
         base, folder = self.version(), f"a{uuid.uuid4().hex[:12]}"
-        df.write.parquet(f"{self.root}/data/{folder}")
+        df.write.option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
         return self._commit(self.manifest(base).union(self._written(folder, base + 1)), base)
 
     def _bins(self, shards: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ class Store:
             packed = rows.select(F.struct("*").alias("row"), F.regexp_extract("_metadata.file_path", r"/data/(.*)$", 1).alias("path"))
             dealt = packed.join(F.broadcast(bins.select("path", "bin")), "path")
             dealt = dealt.repartition("bin").select("row.*", F.col("bin").alias("_bin"))
-            dealt.write.partitionBy("_bin").parquet(f"{self.root}/data/{folder}")
+            dealt.write.option("compression", "zstd").partitionBy("_bin").parquet(f"{self.root}/data/{folder}")
             kept = shards.join(bins, "path", "left_anti")
             self._commit(kept.union(self._written(folder, base + 1)), base)
             for p in old:
