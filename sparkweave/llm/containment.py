@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .recovery import cut
 from .shingles import mix, shingles, words
 
 #: One MinHash value each.
 BANDS = 48
 #: Bytes of item text in a block: what a task holds of the items is bounded by it.
 BLOCK_BYTES = 8_000_000
+#: Ids of found documents up to this number are broadcast to filter the documents; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Shingles of a document handled at once; pieces overlap by a window.
 PIECE = 1 << 15
 _SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -152,3 +155,10 @@ def search(
     for block in item_blocks(items.withColumn(key, F.col(key).cast("long")), key, text, k, block_bytes):
         out = out.union(slim.mapInArrow(_searched(spark.sparkContext.broadcast(block), k, threshold), schema))
     return out
+
+
+def without(docs: DataFrame, items: DataFrame, key: str, **options) -> DataFrame:
+    """docs without those that contain an item; rows whose doc_id is null stay."""
+    found = cut(search(docs, items, key, **options).select("doc_id").dropna().distinct())
+    few = found.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(*docs.columns)

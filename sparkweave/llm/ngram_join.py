@@ -316,6 +316,14 @@ def components(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) ->
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but the document with the least id of each group; identical rows of that id are one."""
-    kept = components(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """docs with one document, that of the least id, of each group of linked documents.
+
+    Of rows that share a doc_id one stays; rows whose doc_id is null stay.
+    """
+    groups = components(docs, **options).filter("doc_id = component_id")
+    kept = cut(groups.groupBy("doc_id").agg(F.count("*").alias("rows")))
+    out = _only(docs.filter("doc_id is not null"), kept.filter("rows = 1").select("doc_id"), "doc_id")
+    again = kept.filter("rows > 1").select("doc_id")
+    if not again.isEmpty():
+        out = out.unionByName(_only(docs, again, "doc_id").dropDuplicates(["doc_id"]))
+    return out.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
