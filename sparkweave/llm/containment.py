@@ -10,8 +10,10 @@ within one window. There the Jaccard similarity of item and window is bounded fr
 containment * u / (2 * width + (1 - containment) * u) with u > width / 2, which is
 0.8 * 0.5 / 2.1 = 0.19 and more. A band is one MinHash value; BANDS bands miss such a pair with a
 chance of at most (1 - 0.19) ** 48 < 5e-5, and an exact copy (0.25) with (0.75) ** 48 < 2e-6.
-Every retrieved pair is then verified by the exact share of the item's shingles that the whole
-document (or, for `local`, the best window) contains.
+A window can share a band only with an item whose least shingle it holds, so a table of the items'
+least shingles rules out, without loss, most documents and the parts of others before any band is
+computed. Every retrieved pair is then verified by the exact share of the item's shingles that the
+whole document contains.
 """
 
 from __future__ import annotations
@@ -50,12 +52,20 @@ class Items:
     keys: list
     sets: list
     index: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    least: np.ndarray | None = None
+    table: np.ndarray | None = None
+    shift: np.uint64 = np.uint64(0)
 
     def built(self) -> Items:
         widths: dict[int, list[int]] = {}
         for i, own in enumerate(self.sets):
             if len(own):
                 widths.setdefault(1 << (len(own) - 1).bit_length(), []).append(i)
+        least = [np.unique(own[band_values(own).argmin(axis=1)]) for own in self.sets if len(own)]
+        self.least = least = np.unique(np.concatenate(least)) if least else np.zeros(0, np.uint64)
+        bits = min(max(12, (64 * len(least)).bit_length()), 26)
+        self.table, self.shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+        self.table[(least >> self.shift).astype(np.int64)] = True
         for width, members in widths.items():
             least = np.stack([band_values(self.sets[i]).min(axis=1) for i in members], axis=1)
             self.index[width] = []
@@ -64,11 +74,22 @@ class Items:
                 self.index[width].append((band[order], np.array(members)[order]))
         return self
 
-    def candidates(self, hashes: np.ndarray) -> set[int]:
-        """Items that share a band with some window of the document."""
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the shingles that are the least of an item in some band."""
+        some = np.flatnonzero(self.table[(hashes >> self.shift).astype(np.int64)])
+        if not len(some):
+            return some
+        at = np.minimum(np.searchsorted(self.least, hashes[some]), len(self.least) - 1)
+        return some[self.least[at] == hashes[some]]
+
+    def candidates(self, hashes: np.ndarray, hits: np.ndarray) -> set[int]:
+        """Items that share a band with some window of the document that holds one of the hits."""
         found: set[int] = set()
-        for start in range(0, len(hashes), PIECE) if self.index else ():
-            found |= self._candidates(hashes[start : start + PIECE + 2 * max(self.index)])
+        reach = 2 * max(self.index)
+        gaps = np.flatnonzero(np.diff(hits) > 2 * reach) + 1
+        for low, high in zip(hits[np.append(0, gaps)], hits[np.append(gaps - 1, len(hits) - 1)]):
+            for start in range(max(0, low - reach), high + reach, PIECE):
+                found |= self._candidates(hashes[start : min(start + PIECE, high) + reach])
         return found
 
     def _candidates(self, hashes: np.ndarray) -> set[int]:
@@ -125,9 +146,11 @@ def _searched(block, k: int, threshold: float):
             ids, out = batch.column("doc_id").to_pylist(), [[], [], [], []]
             for w in words(batch.column("text"), punctuation=True):
                 hashes, first = shingles(w, k)
-                for i in range(len(w)):
+                hits = items.hits(hashes)
+                cuts = np.searchsorted(hits, first)
+                for i in np.flatnonzero(np.diff(cuts)):
                     own = hashes[first[i] : first[i + 1]]
-                    for item in sorted(items.candidates(own)):
+                    for item in sorted(items.candidates(own, hits[cuts[i] : cuts[i + 1]] - first[i])):
                         share, at = _share(items.sets[item], own)
                         if share >= threshold:
                             for held, x in zip(out, (ids[w.row + i], items.keys[item], share, at)):

@@ -8,9 +8,11 @@
    unless a component already holds both. Leaders then leave the entry, and rounds go on until
    each entry's remaining classes lie in one component. No pair is skipped that could join two
    components, and a group of near copies costs a number of comparisons that grows with its size.
-4. A leader's candidates are walked as a prefix tree of ordered sets: candidates in lexicographic
-   order share the overlap counted along their common path, and a path ends when the entries that
-   remain cannot reach the overlap that the threshold needs.
+4. A leader's candidates are walked as a prefix tree of sets in hash order: candidates in
+   lexicographic order share the overlap counted along their common path, and a path ends when
+   the entries that remain cannot reach the overlap that the threshold needs. The tree is walked
+   in two parts: its top, the entries in the first quarter of the hash range, rules out nearly
+   all that are not alike; only the others send their whole sets.
 5. Components of the verified links, by alternating stars.
 
 Sets are compared by 64-bit shingle hashes; a collision within a pair has a chance below 1e-12.
@@ -31,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import links
+from .frequent import most_frequent
 from .recovery import cut, drop_written, written
 from .shingles import mix, shingles, words
 
 #: Shingles found in more documents than this come last in the global order, at most LATE of them.
-COMMON, LATE = 32, 1 << 18
-#: Leaders of an entry in the first round; each further round has eight times as many.
-LEADERS = 8
-#: Candidates in one prefix tree.
-TREE = 128
+COMMON, LATE = 8, 1 << 18
+#: Leaders of an entry in the first round, its classes of least key: one group of near copies has much the same
+#: least class at all its entries, so few leaders in all. Each further round has eight times as many.
+LEADERS = 1
+#: Candidates in one prefix tree, and the hash at which its top ends.
+TREE, TOP = 128, np.uint64(1 << 62)
 #: Keys up to this number are broadcast to filter a scan; beyond it, a shuffle join does the same.
 BROADCAST_KEYS = 1_000_000
 
@@ -126,67 +130,74 @@ def _prefixes(k: int, top: int, bottom: int, seed: int, late):
     return run
 
 
-def _ordered_sets(k: int, seed: int, late):
+def _ordered_sets(k: int, seed: int):
+    """Sets in hash order, whole and as far as the top of the tree."""
+
     def run(batches):
-        schema = pa.schema([("c", pa.int64()), ("entries", pa.binary())])
+        schema = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("top", pa.binary()), ("entries", pa.binary())])
         for batch in batches:
-            out = [[], []]
+            out = [[], [], [], []]
             for _, _, own in _sets([batch], k):
                 out[0].append(_class_of(own, seed)[0])
-                out[1].append(_ordered(own, late.value).tobytes())
+                out[1].append(len(own))
+                out[2].append(own[: np.searchsorted(own, TOP)].tobytes())
+                out[3].append(own.tobytes())
             yield _emit(out, schema)
 
     return run
 
 
-def walk_tree(leader: np.ndarray, candidates: list[tuple[int, np.ndarray]], top: int, bottom: int) -> list[int]:
-    """Keys of the candidates whose Jaccard similarity with leader is top / bottom or more.
+def walk_tree(
+    leader: np.ndarray, size: int, candidates: list[tuple[int, int, np.ndarray]], top: int, bottom: int
+) -> list[int]:
+    """Keys of the candidates (key, size, path) that may have a Jaccard similarity of top / bottom or more with leader.
 
-    Candidates are ordered sets; in lexicographic order each continues the path of the one before
-    from their common prefix, with the overlap counted so far, and stops once the entries left
-    cannot lift the overlap to what both sizes need.
+    leader and paths are sets in increasing order, or both cut at one value; size is that of the whole
+    set. Whole sets give an exact answer, cut ones an answer without misses. Candidates in
+    lexicographic order continue the path of the one before from their common prefix, with the
+    overlap counted so far, and stop once the entries left cannot lift it to what both sizes need.
     """
-    own, found = np.sort(leader), []
+    found = []
     last, total = np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    for key, path in sorted(candidates, key=lambda x: x[1].astype(">u8").tobytes()):
+    for key, n, path in sorted(candidates, key=lambda x: x[2].astype(">u8").tobytes()):
         shared = min(len(last), len(path), len(total) - 1)
         apart = np.flatnonzero(last[:shared] != path[:shared])
         depth = int(apart[0]) if len(apart) else shared
         total = total[: depth + 1]
-        need = -(-top * (len(own) + len(path)) // (top + bottom))
-        while depth < len(path) and total[-1] + len(path) - depth >= need:
+        need = -(-top * (size + n) // (top + bottom))
+        while depth < len(path) and len(leader) and total[-1] + n - depth >= need:
             step = path[depth : depth + 256]
-            at = np.minimum(np.searchsorted(own, step), len(own) - 1)
-            total = np.concatenate([total, total[-1] + np.cumsum(own[at] == step)])
+            at = np.minimum(np.searchsorted(leader, step), len(leader) - 1)
+            total = np.concatenate([total, total[-1] + np.cumsum(leader[at] == step)])
             depth += len(step)
-        if depth == len(path) and total[-1] >= need:
+        if (depth == len(path) or not len(leader)) and total[-1] + min(size - len(leader), n - len(path)) >= need:
             found.append(key)
         last = path
     return found
 
 
-def _verify(top: int, bottom: int):
+def _walked(top: int, bottom: int):
     """Rows sorted by (leader, part, role): first the leader's own set, then its candidates'."""
 
     def run(batches):
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        now, own, held = None, None, []
+        schema = pa.schema([("leader", pa.int64()), ("c", pa.int64())])
+        now, own, size, held = None, None, 0, []
         out: list[list] = [[], []]
 
         def close():
-            for c in walk_tree(own, held, top, bottom) if held else ():
+            for c in walk_tree(own, size, held, top, bottom) if held else ():
                 out[0].append(now[0])
                 out[1].append(c)
 
         for batch in batches:
-            cols = [batch.column(x).to_pylist() for x in ("leader", "part", "c", "entries")]
-            for leader, part, c, entries in zip(*cols):
+            cols = [batch.column(x).to_pylist() for x in ("leader", "part", "c", "n", "entries")]
+            for leader, part, c, n, entries in zip(*cols):
                 path = np.frombuffer(entries, np.uint64)
                 if (leader, part) != now:
                     close()
-                    now, own, held = (leader, part), path, []
+                    now, own, size, held = (leader, part), path, n, []
                 else:
-                    held.append((c, path))
+                    held.append((c, n, path))
             yield _emit(out, schema)
             out = [[], []]
         close()
@@ -195,30 +206,36 @@ def _verify(top: int, bottom: int):
     return run
 
 
+def _walk(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
+    """The pairs (leader, c) that the tree walk over sets (c, n, entries) doesn't rule out."""
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / TREE).alias("parts"))
+    dealt = pairs.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))
+    members = dealt.join(sets, "c").select("leader", "part", F.lit(1).alias("role"), "c", "n", "entries")
+    heads = dealt.select("leader", "part").distinct()
+    heads = heads.join(sets.withColumnRenamed("c", "leader"), "leader").select(
+        "leader", "part", F.lit(0).alias("role"), F.col("leader").alias("c"), "n", "entries"
+    )
+    rows = heads.union(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
+    return cut(rows.mapInArrow(_walked(top, bottom), "leader long, c long"))
+
+
 def _only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of df whose key is in keys; keys go to every executor only up to BROADCAST_KEYS of them."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
 
 
-def _linked(docs: DataFrame, slim: DataFrame, pairs: DataFrame, k: int, seed: int, late, top: int, bottom: int) -> DataFrame:
+def _linked(docs: DataFrame, slim: DataFrame, pairs: DataFrame, k: int, seed: int, top: int, bottom: int) -> DataFrame:
     """The pairs (leader, c) that are similar, as edges."""
     pairs = cut(pairs)
     named = pairs.select(F.col("leader").alias("c")).union(pairs.select("c")).distinct()
     ids = slim.join(named, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sets = _only(docs, cut(ids), "doc_id").mapInArrow(_ordered_sets(k, seed, late), "c long, entries binary")
+    sets = _only(docs, cut(ids), "doc_id").mapInArrow(_ordered_sets(k, seed), "c long, n long, top binary, entries binary")
     sets = written(sets, "sets")
-    parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / TREE).alias("parts"))
-    dealt = pairs.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))
-    members = dealt.join(sets, "c").select("leader", "part", F.lit(1).alias("role"), "c", "entries")
-    heads = dealt.select("leader", "part").distinct()
-    heads = heads.join(sets.withColumnRenamed("c", "leader"), "leader").select(
-        "leader", "part", F.lit(0).alias("role"), F.col("leader").alias("c"), "entries"
-    )
-    rows = heads.union(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
-    edges = cut(rows.mapInArrow(_verify(top, bottom), "u long, v long"))
+    likely = _walk(pairs, sets.select("c", "n", F.col("top").alias("entries")), top, bottom)
+    edges = _walk(likely, sets.select("c", "n", "entries"), top, bottom)
     drop_written(sets)
-    return edges
+    return edges.select(F.col("leader").alias("u"), F.col("c").alias("v"))
 
 
 def components(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) -> DataFrame:
@@ -234,15 +251,10 @@ def components(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) ->
         if clash.isEmpty():
             break
         drop_written(slim)
-    common = (
-        docs.mapInArrow(_low_counts(k, top, bottom), "token long, n long")
-        .groupBy("token")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") > COMMON)
-        .orderBy(F.desc("n"), "token")
-        .limit(LATE)
-    )
-    late = np.sort(np.array([r[0] for r in common.select("token").collect()], np.int64).view(np.uint64))
+    common = docs.mapInArrow(_low_counts(k, top, bottom), "token long, n long")
+    common = cut(common.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON))
+    late = most_frequent(common, LATE).select("token").toPandas()["token"].to_numpy(np.int64)
+    late = np.sort(late.view(np.uint64))
     late = spark.sparkContext.broadcast(late)
     heads = written(docs.mapInArrow(_prefixes(k, top, bottom, seed, late), "token long, c long, n long"), "heads")
     tokens = heads.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
@@ -282,7 +294,7 @@ def components(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) ->
         ).distinct()
         if labels is None:
             pairs = pairs.union(twos).distinct()
-        found = _linked(docs, slim, pairs, k, seed, late, top, bottom)
+        found = _linked(docs, slim, pairs, k, seed, top, bottom)
         if labels is not None:
             root = lambda x: (
                 labels.select(F.col("c").alias(x), F.col("root").alias(f"{x}_root"))

@@ -7,9 +7,11 @@
 2. Equal pieces. A piece whose content occurs twice or more is repeated whole.
 3. Pieces of an anchor whose contents differ (the ends of a repeat) are dealt by anchor. Each task
    builds the Burrows-Wheeler transforms of shards of its pieces and merges them in a tree. A
-   merge refines the interleave of two transforms, a symbol at a time, up to 200 symbols; blocks
+   merge refines the interleave of two transforms, a symbol at a time, up to 200 bytes; blocks
    of the interleave are the suffixes with that long a common prefix, so a block of two or more
-   is a repeated interval. No suffix of a shard is sorted again.
+   is a repeated interval. No suffix of a shard is sorted again. Equal 200-byte strings start
+   equally far from their anchor, so a symbol can be 8 bytes: a piece gives eight strings, one
+   for each distance from the anchor modulo 8, and a merge takes 25 rounds.
 4. The rare anchors with more pieces than a task should hold (GROUP_BYTES) are settled by counting
    the 128-bit hashes of their 200-byte strings, which Spark can split further. No piece is left out.
 5. The removed ranges go back to their documents, whose remaining bytes are joined and hashed.
@@ -32,22 +34,26 @@ from pyspark.sql import functions as F
 from .recovery import cut, written
 from .shingles import _BYTE, U64, _power_tables, mix, slices
 
-LENGTH, ANCHOR = 200, 128
+LENGTH, ANCHOR, SYMBOL = 200, 128, 8
 #: Bits of the bitmap of anchors; what goes to every executor is this many bits at most.
 BITMAP_BITS = 27
-#: Bytes of a shard whose transform is built at once, and of one anchor's pieces that one task merges.
-SHARD_BYTES, GROUP_BYTES = 1 << 17, 1 << 21
+#: Bytes of a shard whose transform is built at once, and of one anchor's pieces that one task merges. Two shards
+#: have under 65,536 symbols, which NumPy sorts by radix.
+SHARD_BYTES, GROUP_BYTES = 1 << 15, 1 << 19
+#: Ids of documents with repeats that are broadcast to split them from the others; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 _PLACE = (1 << 24) - 1
 #: Longer texts are read in overlapping parts.
 _PART = 1 << 22
 
 
 def runs(data: np.ndarray, offsets: np.ndarray):
-    """(start, end, anchor, content, text) of the runs: first and last start, 64-bit hashes, index of the text."""
+    """(start, end, place, anchor, content, text) of the runs: first and last start, the anchor's place in the piece,
+    64-bit hashes, index of the text."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none.view(U64), none.view(U64), none
+        return none, none, none, none.view(U64), none.view(U64), none
     powers, inverses = _power_tables(n + 1)
     total = np.zeros(n + 1, U64)
     np.cumsum(_BYTE[data] * powers[:n], out=total[1:])
@@ -66,13 +72,13 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     starts = np.repeat(offsets[:-1] - first[:-1], counts) + np.arange(first[-1])
     text = np.repeat(np.arange(len(counts)), counts)
     if not len(starts):
-        return none, none, none.view(U64), none.view(U64), none
+        return none, none, none, none.view(U64), none.view(U64), none
     own = anchor[starts]
     fresh = np.flatnonzero((own[1:] != own[:-1]) | (text[1:] != text[:-1])) + 1
     low, high = np.concatenate([[0], fresh]), np.concatenate([fresh - 1, [len(starts) - 1]])
     s, e = starts[low], starts[high]
     content = mix((total[e + LENGTH] - total[s]) * inverses[s]) ^ mix((e - s).astype(U64))
-    return s, e, grams[own[low]], content, text[low]
+    return s, e, own[low] - s, grams[own[low]], content, text[low]
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -95,7 +101,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _anchor_counts(batches):
     for batch in batches:
         for _, offsets, data, _ in _parts(batch):
-            found, n = np.unique(runs(data, offsets)[2], return_counts=True)
+            found, n = np.unique(runs(data, offsets)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(found), pa.array(n)], names=["g", "n"])
 
 
@@ -119,7 +125,7 @@ def _pieces(held):
         for batch in batches:
             ids, ties = batch.column("doc_id"), batch.column("tie")
             for row, offsets, data, at in _parts(batch):
-                s, e, g, c, text = runs(data, offsets)
+                s, e, _, g, c, text = runs(data, offsets)
                 some = _passing(g, held.value)
                 s, e, g, c, text = (x[some] for x in (s, e, g, c, text))
                 rows, at = pa.array(text + row), at - offsets[text]
@@ -131,17 +137,24 @@ def _pieces(held):
     return run
 
 
-def _contents(held):
-    """Bytes of the pieces, each content once a slice."""
+def _some(batches, held, hot, wanted: bool):
+    """(data, start, end, place, anchor, content) of pieces in the bitmap, each content once a slice, hot anchors or the others."""
+    for batch in batches:
+        for _, offsets, data, _ in _parts(batch):
+            s, e, place, g, c, _ = runs(data, offsets)
+            some = np.flatnonzero(_passing(g, held.value))
+            some = some[_passing(g[some], hot.value) == wanted]
+            some = some[np.unique(c[some], return_index=True)[1]]
+            yield data, s[some], e[some], place[some], g[some], c[some]
 
+
+def _contents(held, hot):
     def run(batches):
-        for batch in batches:
-            for _, offsets, data, _ in _parts(batch):
-                s, e, g, c, _ = runs(data, offsets)
-                some = np.flatnonzero(_passing(g, held.value))
-                some = some[np.unique(c[some], return_index=True)[1]]
-                texts = [data[a : b + LENGTH].tobytes() for a, b in zip(s[some], e[some])]
-                yield pa.RecordBatch.from_arrays([_signed(g[some]), _signed(c[some]), pa.array(texts, pa.binary())], names=["g", "c", "bytes"])
+        for data, s, e, place, g, c in _some(batches, held, hot, False):
+            texts = [data[a : b + LENGTH].tobytes() for a, b in zip(s, e)]
+            yield pa.RecordBatch.from_arrays(
+                [_signed(g), _signed(c), pa.array(place.astype(np.int32)), pa.array(texts, pa.binary())], names=["g", "c", "place", "bytes"]
+            )
 
     return run
 
@@ -149,7 +162,7 @@ def _contents(held):
 class Transform:
     """Burrows-Wheeler transform of strings, with the text position of each sorted suffix.
 
-    Symbols are bytes + 1 (UTF-8 has no byte above 0xF7); 0 ends a string, and all ends differ.
+    Symbols are numbers from 1; 0 ends a string, and all ends differ.
     """
 
     def __init__(self, symbols: np.ndarray, suffixes: np.ndarray, strings: int, blocks: np.ndarray | None = None):
@@ -159,11 +172,11 @@ class Transform:
     def built(cls, text: np.ndarray, at: int) -> Transform:
         """Of text, whose strings each end in 0, by prefix doubling; at is added to the positions."""
         ends = np.flatnonzero(text == 0)
-        rank = text.astype(np.int64) + len(ends)
+        rank = np.unique(text, return_inverse=True)[1] + len(ends)
         rank[ends] = np.arange(len(ends))
         step, n = 1, len(text)
         while True:
-            key = rank * (n + 512)
+            key = rank * (2 * n + 2)
             key[:-step or None] += rank[step:] + 1
             order = np.argsort(key, kind="stable")
             fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
@@ -175,7 +188,7 @@ class Transform:
         return cls(text[order - 1], order + at, len(ends))
 
 
-def merge(a: Transform, b: Transform, depth: int = LENGTH) -> Transform:
+def merge(a: Transform, b: Transform, depth: int = LENGTH // SYMBOL) -> Transform:
     """Interleave of two transforms by iterative refinement: after d rounds suffixes are ordered by d symbols.
 
     A round prepends to each suffix the symbol before it: a stable sort by that symbol takes the
@@ -187,7 +200,7 @@ def merge(a: Transform, b: Transform, depth: int = LENGTH) -> Transform:
     from_b = np.zeros(n, bool)
     from_b[len(a.symbols) :] = True
     block = np.zeros(n, np.int32)
-    symbols = np.empty(n, np.uint8)
+    symbols = np.empty(n, a.symbols.dtype)
     for _ in range(depth):
         symbols[~from_b], symbols[from_b] = a.symbols, b.symbols
         order = np.argsort(symbols, kind="stable")[ends:]
@@ -207,26 +220,53 @@ def merge(a: Transform, b: Transform, depth: int = LENGTH) -> Transform:
     return Transform(symbols, suffixes, ends, block)
 
 
-def repeated(pieces: list[bytes]) -> list[np.ndarray]:
-    """For each piece, the positions at which a LENGTH-byte string starts that also starts elsewhere in the pieces."""
-    text = np.concatenate([np.append(np.frombuffer(p, np.uint8) + np.uint8(1), np.uint8(0)) for p in pieces])
-    first = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])])
+def _symbols(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, piece, position, first string of each piece): ranks of 8-byte words from 1, strings end in 0.
+
+    A piece is (place of the anchor, bytes). Its words are dealt to eight strings by distance from the anchor modulo 8.
+    """
+    sizes = np.array([len(p) for _, p in pieces])
+    data = np.frombuffer(b"".join(p for _, p in pieces), np.uint8).astype(U64)
+    word = np.zeros(len(data) - SYMBOL + 1, U64)
+    for j in range(SYMBOL):
+        word |= data[j : j + len(word)] << U64(8 * j)
+    counts = sizes - SYMBOL + 1
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    piece = np.repeat(np.arange(len(pieces)), counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    phase = (at - np.array([q for q, _ in pieces])[piece]) % SYMBOL
+    known, rank = np.unique(word[first[piece] + at], return_inverse=True)
+    ends = np.repeat(np.arange(len(pieces)), SYMBOL)
+    string = np.concatenate([piece * SYMBOL + phase, np.arange(len(pieces) * SYMBOL)])
+    order = np.argsort(string, kind="stable")
+    kind = np.uint16 if len(known) < 65535 else np.uint32
+    symbols = np.concatenate([rank + 1, np.zeros(len(ends), np.int64)]).astype(kind)[order]
+    piece, at = np.concatenate([piece, ends])[order], np.concatenate([at, np.full(len(ends), -1)])[order]
+    return symbols, piece, at, np.concatenate([[0], np.cumsum(counts + SYMBOL)])
+
+
+def repeated(pieces: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    """For each piece (place of its anchor, bytes), the positions at which a LENGTH-byte string starts that also starts
+    elsewhere in the pieces, equally far from the anchor."""
+    symbols, piece, position, first = _symbols(pieces)
     shards, at = [], 0
     while at < len(pieces):
         to = max(int(np.searchsorted(first, first[at] + SHARD_BYTES, "right")) - 1, at + 1)
         if at == 0 and to >= len(pieces) > 1:
             to = len(pieces) // 2
-        shards.append(Transform.built(text[first[at] : first[to]], first[at]))
+        shards.append(Transform.built(symbols[first[at] : first[to]], first[at]))
         at = to
     if len(shards) == 1:
-        shards.append(Transform(np.zeros(0, np.uint8), np.zeros(0, np.int64), 0))
+        shards.append(Transform(symbols[:0], first[:0], 0))
     while len(shards) > 1:
         shards = [merge(*shards[i : i + 2]) if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
     top = shards[0]
     size = np.bincount(top.blocks)
-    places = np.sort(top.suffixes[size[top.blocks] > 1])
-    cuts = np.searchsorted(places, first)
-    return [places[cuts[i] : cuts[i + 1]] - first[i] for i in range(len(pieces))]
+    hits = top.suffixes[size[top.blocks] > 1]
+    piece, position = piece[hits], position[hits]
+    order = np.lexsort((position, piece))
+    cuts = np.searchsorted(piece[order], np.arange(len(pieces) + 1))
+    return [position[order][cuts[i] : cuts[i + 1]] for i in range(len(pieces))]
 
 
 def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,39 +278,45 @@ def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(batches):
-    """Rows sorted by g: repeated runs within each piece, groups taken together up to a shard pair's bytes."""
+    """Rows sorted by g and c, repeats allowed: repeated runs within each piece, groups taken together up to two shards' bytes."""
     schema = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
     held, size, last = [], 0, None
 
     def close():
         out = [[], [], [], []]
-        for (g, c, _), starts in zip(held, repeated([x[2] for x in held]) if held else ()):
+        for (g, c, _, _), starts in zip(held, repeated([x[2:] for x in held]) if held else ()):
             for low, high in zip(*spans(starts)):
                 for column, x in zip(out, (g, c, int(low), int(high))):
                     column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
 
     for batch in batches:
-        for g, c, content in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "bytes"))):
-            if g != last and size >= 2 * SHARD_BYTES:
+        for g, c, place, content in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "place", "bytes"))):
+            if (g, c) == last:
+                continue
+            if (last is None or g != last[0]) and size + len(content) >= 2 * SHARD_BYTES - 4096:
                 yield close()
                 held, size = [], 0
-            held.append((g, c, content))
-            size, last = size + len(content), g
+            held.append((g, c, place, content))
+            size, last = size + len(content), (g, c)
     yield close()
 
 
-def _windows(batches):
-    """(g, c, high, low): two 64-bit hashes of each 200-byte string of a piece, with its place."""
-    for batch in batches:
-        out = [[], [], [], [], []]
-        for g, c, content in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "bytes"))):
-            n = len(content) - LENGTH + 1
-            for at in range(n):
-                digest = hashlib.blake2b(content[at : at + LENGTH], digest_size=16).digest()
-                for column, x in zip(out, (g, c, at, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))):
-                    column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["g", "c", "at", "h1", "h2"])
+def _windows(held, hot):
+    """(g, c, at, h1, h2): two 64-bit hashes of each 200-byte string of the hot anchors' pieces, with its place."""
+
+    def run(batches):
+        for data, s, e, _, g, c in _some(batches, held, hot, True):
+            out = [[], [], [], [], []]
+            for a, b, anchor, content in zip(s.tolist(), e.tolist(), g.view(np.int64).tolist(), c.view(np.int64).tolist()):
+                for at in range(a, b + 1):
+                    digest = hashlib.blake2b(data[at : at + LENGTH].tobytes(), digest_size=16).digest()
+                    halves = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+                    for column, x in zip(out, (anchor, content, at - a, *halves)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["g", "c", "at", "h1", "h2"])
+
+    return run
 
 
 def ranges(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
@@ -286,24 +332,18 @@ def ranges(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
         F.count("*").alias("contents"), F.sum((F.col("m") == 1).cast("int")).alias("single"), F.sum("size").alias("size")
     )
     mixed = cut(groups.filter("contents > 1 and single > 0").select("g", "size"))
-    whole = pieces.join(contents.filter("m > 1").select("g", "c"), ["g", "c"], "left_semi").select(
-        "doc_id", "tie", F.col("s").alias("low"), F.col("e").alias("high")
-    )
     open_ = sc.broadcast(bitmap(mixed))
-    texts = docs.mapInArrow(_contents(open_), "g long, c long, bytes binary").dropDuplicates(["g", "c"])
-    texts = written(texts.join(mixed, "g"), "contents")
-    few = texts.filter(F.col("size") <= group_bytes).select("g", "c", "bytes")
-    found = few.repartition("g").sortWithinPartitions("g").mapInArrow(_merged, "g long, c long, low long, high long")
-    single = contents.filter("m = 1").select("g", "c")
-    hot = texts.filter(F.col("size") > group_bytes)
-    strings = hot.select("g", "c", "bytes").mapInArrow(_windows, "g long, c long, at long, h1 long, h2 long")
+    hot = sc.broadcast(bitmap(mixed.filter(F.col("size") > group_bytes)))
+    texts = docs.mapInArrow(_contents(open_, hot), "g long, c long, place int, bytes binary")
+    found = texts.repartition("g").sortWithinPartitions("g", "c").mapInArrow(_merged, "g long, c long, low long, high long")
+    strings = docs.mapInArrow(_windows(open_, hot), "g long, c long, at long, h1 long, h2 long").distinct()
     again = strings.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("h1", "h2")
     counted = strings.join(again, ["h1", "h2"], "left_semi").select("g", "c", F.col("at").alias("low"), F.col("at").alias("high"))
-    found = found.union(counted).join(single, ["g", "c"], "left_semi")
-    ends = pieces.join(found, ["g", "c"]).select(
+    found = cut(found.union(counted)).join(contents.filter("m = 1").select("g", "c"), ["g", "c"], "left_semi")
+    whole = contents.filter("m > 1").select("g", "c", F.lit(0).cast("long").alias("low"), (F.col("size") - LENGTH).alias("high"))
+    return pieces.join(whole.union(found), ["g", "c"]).select(
         "doc_id", "tie", (F.col("s") + F.col("low")).alias("low"), (F.col("s") + F.col("high")).alias("high")
     )
-    return whole.union(ends)
 
 
 def _removed(batches):
@@ -332,8 +372,14 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, which may cut a character)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     per = ranges(docs, **options).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("low", "high")).alias("found"))
+    per = written(per, "ranges")
     on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.tie") == F.col("b.tie"))
-    joined = docs.alias("a").join(per.alias("b"), on, "left").select("a.doc_id", "text", "found")
-    return joined.mapInArrow(
+    keys = per.select("doc_id", "tie")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    keys = (F.broadcast(keys) if few else keys).alias("b")
+    some = docs.alias("a").join(keys, on, "left_semi")
+    some = some.alias("a").join(per.alias("b"), on).select("a.doc_id", "text", "found")
+    none = docs.alias("a").join(keys, on, "left_anti").select("doc_id", "text", F.lit(None).cast(per.schema["found"].dataType).alias("found"))
+    return some.union(none).mapInArrow(
         _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )

@@ -63,7 +63,11 @@ def test_tree_walk_against_sets():
     leader = np.unique(rng.integers(0, 400, 300).astype(np.uint64))
     members = [(i, np.unique(np.where(rng.random(len(leader)) < i / 200, rng.integers(0, 400, len(leader)).astype(np.uint64), leader))) for i in range(40)]
     want = {i for i, m in members if 100 * len(np.intersect1d(m, leader)) >= 85 * len(np.union1d(m, leader))}
-    assert set(ngram_join.walk_tree(leader, members, 85, 100)) == want
+    whole = [(i, len(m), m) for i, m in members]
+    assert set(ngram_join.walk_tree(leader, len(leader), whole, 85, 100)) == want
+    for at in (0, 100, 300):
+        part = [(i, len(m), m[m < at]) for i, m in members]
+        assert want <= set(ngram_join.walk_tree(leader[leader < at], len(leader), part, 85, 100))
 
 
 def test_components(spark):

@@ -48,13 +48,17 @@ def test_odd_texts_against_brute_force(spark):
 
 
 def test_merge_of_many_shards(monkeypatch):
-    monkeypatch.setattr(repeats, "SHARD_BYTES", 700)
     rng = np.random.default_rng(2)
     base = bytes(rng.integers(97, 100, 900).astype(np.uint8))
-    pieces = [base[i : i + 250] for i in rng.integers(0, 600, 30)] + [bytes(rng.integers(97, 100, 300).astype(np.uint8)) for _ in range(9)]
-    seen = Counter(p[i : i + 200] for p in pieces for i in range(len(p) - 199))
-    want = [[i for i in range(len(p) - 199) if seen[p[i : i + 200]] > 1] for p in pieces]
-    assert [x.tolist() for x in repeats.repeated(pieces)] == want
+    starts = rng.integers(100, 500, 60)
+    anchored = [(int(600 - i), base[i : 700 + int(rng.integers(0, 100))] + bytes(rng.integers(97, 100, 30).astype(np.uint8))) for i in starts]
+    noise = [(int(rng.integers(0, 8)), bytes(rng.integers(97, 100, 300).astype(np.uint8))) for _ in range(9)]
+    pieces = [anchored[0], *noise, *anchored[1:]]
+    seen = Counter(((i - q) % 8, p[i : i + 200]) for q, p in pieces for i in range(len(p) - 199))
+    want = [[i for i in range(len(p) - 199) if seen[(i - q) % 8, p[i : i + 200]] > 1] for q, p in pieces]
+    for size in (700, 5000, 1 << 15):
+        monkeypatch.setattr(repeats, "SHARD_BYTES", size)
+        assert [x.tolist() for x in repeats.repeated(pieces)] == want
 
 
 def test_whole_table(spark, sf):
