@@ -11,7 +11,8 @@
    of the interleave are the suffixes with that long a common prefix, so a block of two or more
    is a repeated interval. No suffix of a shard is sorted again. Equal 200-byte strings start
    equally far from their anchor, so a symbol can be 8 bytes: a piece gives eight strings, one
-   for each distance from the anchor modulo 8, and a merge takes 25 rounds.
+   for each distance from the anchor modulo 8. The anchor itself, equal in all of them, is left out
+   but for two symbols, so a merge takes 11 rounds.
 4. The rare anchors with more pieces than a task should hold (GROUP_BYTES) are settled by counting
    the 128-bit hashes of their 200-byte strings, which Spark can split further. No piece is left out.
 5. The removed ranges go back to their documents, whose remaining bytes are joined and hashed.
@@ -31,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recovery import cut, written
+from .recovery import cut, drop_written, written
 from .shingles import _BYTE, U64, _power_tables, mix, slices
 
 LENGTH, ANCHOR, SYMBOL = 200, 128, 8
+#: Zero bytes that stand for the anchor while its pieces are merged.
+STAND_IN = 2 * SYMBOL
 #: Bits of the bitmap of anchors; what goes to every executor is this many bits at most.
 BITMAP_BITS = 27
 #: Bytes of a shard whose transform is built at once, and of one anchor's pieces that one task merges. Two shards
@@ -151,7 +154,7 @@ def _some(batches, held, hot, wanted: bool):
 def _contents(held, hot):
     def run(batches):
         for data, s, e, place, g, c in _some(batches, held, hot, False):
-            texts = [data[a : b + LENGTH].tobytes() for a, b in zip(s, e)]
+            texts = [data[a : a + q].tobytes() + data[a + q + ANCHOR : b + LENGTH].tobytes() for a, b, q in zip(s, e, place)]
             yield pa.RecordBatch.from_arrays(
                 [_signed(g), _signed(c), pa.array(place.astype(np.int32)), pa.array(texts, pa.binary())], names=["g", "c", "place", "bytes"]
             )
@@ -220,10 +223,11 @@ def merge(a: Transform, b: Transform, depth: int = LENGTH // SYMBOL) -> Transfor
     return Transform(symbols, suffixes, ends, block)
 
 
-def _symbols(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _symbols(pieces: list[tuple[int, bytes]], groups: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, piece, position, first string of each piece): ranks of 8-byte words from 1, strings end in 0.
 
     A piece is (place of the anchor, bytes). Its words are dealt to eight strings by distance from the anchor modulo 8.
+    With groups, the first word inside the anchor is a symbol of the group and the distance instead.
     """
     sizes = np.array([len(p) for _, p in pieces])
     data = np.frombuffer(b"".join(p for _, p in pieces), np.uint8).astype(U64)
@@ -234,21 +238,32 @@ def _symbols(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, n
     first = np.concatenate([[0], np.cumsum(sizes)])
     piece = np.repeat(np.arange(len(pieces)), counts)
     at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    phase = (at - np.array([q for q, _ in pieces])[piece]) % SYMBOL
+    distance = at - np.array([q for q, _ in pieces])[piece]
+    phase = distance % SYMBOL
     known, rank = np.unique(word[first[piece] + at], return_inverse=True)
+    rank, most = rank + 1, len(known)
+    if groups is not None:
+        anchors = np.flatnonzero((distance >= 0) & (distance < SYMBOL))
+        rank[anchors] = most + 1 + np.array(groups)[piece[anchors]] * SYMBOL + phase[anchors]
+        most += SYMBOL * (max(groups) + 1)
     ends = np.repeat(np.arange(len(pieces)), SYMBOL)
     string = np.concatenate([piece * SYMBOL + phase, np.arange(len(pieces) * SYMBOL)])
     order = np.argsort(string, kind="stable")
-    kind = np.uint16 if len(known) < 65535 else np.uint32
-    symbols = np.concatenate([rank + 1, np.zeros(len(ends), np.int64)]).astype(kind)[order]
+    kind = np.uint16 if most < 65535 else np.uint32
+    symbols = np.concatenate([rank, np.zeros(len(ends), np.int64)]).astype(kind)[order]
     piece, at = np.concatenate([piece, ends])[order], np.concatenate([at, np.full(len(ends), -1)])[order]
     return symbols, piece, at, np.concatenate([[0], np.cumsum(counts + SYMBOL)])
 
 
-def repeated(pieces: list[tuple[int, bytes]]) -> list[np.ndarray]:
+def repeated(pieces: list[tuple[int, bytes]], groups: list[int] | None = None) -> list[np.ndarray]:
     """For each piece (place of its anchor, bytes), the positions at which a LENGTH-byte string starts that also starts
-    elsewhere in the pieces, equally far from the anchor."""
-    symbols, piece, position, first = _symbols(pieces)
+    elsewhere in the pieces, equally far from the anchor.
+
+    With groups (a number from 0 for each piece), the pieces of a group share their anchor, every string counted holds
+    it whole, and STAND_IN zero bytes are in its place: matches lie within a group, and a string is 88 bytes long.
+    """
+    symbols, piece, position, first = _symbols(pieces, groups)
+    depth = (LENGTH if groups is None else LENGTH - ANCHOR + STAND_IN) // SYMBOL
     shards, at = [], 0
     while at < len(pieces):
         to = max(int(np.searchsorted(first, first[at] + SHARD_BYTES, "right")) - 1, at + 1)
@@ -259,10 +274,12 @@ def repeated(pieces: list[tuple[int, bytes]]) -> list[np.ndarray]:
     if len(shards) == 1:
         shards.append(Transform(symbols[:0], first[:0], 0))
     while len(shards) > 1:
-        shards = [merge(*shards[i : i + 2]) if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
+        shards = [merge(*shards[i : i + 2], depth) if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
     top = shards[0]
     size = np.bincount(top.blocks)
     hits = top.suffixes[size[top.blocks] > 1]
+    if groups is not None:
+        hits = hits[position[hits] <= np.array([q for q, _ in pieces])[piece[hits]]]
     piece, position = piece[hits], position[hits]
     order = np.lexsort((position, piece))
     cuts = np.searchsorted(piece[order], np.arange(len(pieces) + 1))
@@ -284,7 +301,9 @@ def _merged(batches):
 
     def close():
         out = [[], [], [], []]
-        for (g, c, _, _), starts in zip(held, repeated([x[2:] for x in held]) if held else ()):
+        groups = {g: i for i, g in enumerate(dict.fromkeys(x[0] for x in held))}
+        found = repeated([x[2:] for x in held], [groups[x[0]] for x in held]) if held else ()
+        for (g, c, _, _), starts in zip(held, found):
             for low, high in zip(*spans(starts)):
                 for column, x in zip(out, (g, c, int(low), int(high))):
                     column.append(x)
@@ -294,6 +313,7 @@ def _merged(batches):
         for g, c, place, content in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "place", "bytes"))):
             if (g, c) == last:
                 continue
+            content = content[:place] + bytes(STAND_IN) + content[place:]
             if (last is None or g != last[0]) and size + len(content) >= 2 * SHARD_BYTES - 4096:
                 yield close()
                 held, size = [], 0
@@ -320,7 +340,7 @@ def _windows(held, hot):
 
 
 def ranges(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
-    """(doc_id, tie, low, high): runs of starts, first and last, of repeated 200-byte strings; docs has a `tie`."""
+    """(doc_id, tie, found): runs of starts (low and high) of repeated 200-byte strings; docs has a `tie`."""
     group_bytes = GROUP_BYTES if group_bytes is None else group_bytes
     sc = docs.sparkSession.sparkContext
     counts = docs.mapInArrow(_anchor_counts, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
@@ -333,17 +353,23 @@ def ranges(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
     )
     mixed = cut(groups.filter("contents > 1 and single > 0").select("g", "size"))
     open_ = sc.broadcast(bitmap(mixed))
-    hot = sc.broadcast(bitmap(mixed.filter(F.col("size") > group_bytes)))
+    large = mixed.filter(F.col("size") > group_bytes)
+    hot = sc.broadcast(bitmap(large))
     texts = docs.mapInArrow(_contents(open_, hot), "g long, c long, place int, bytes binary")
     found = texts.repartition("g").sortWithinPartitions("g", "c").mapInArrow(_merged, "g long, c long, low long, high long")
-    strings = docs.mapInArrow(_windows(open_, hot), "g long, c long, at long, h1 long, h2 long").distinct()
-    again = strings.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("h1", "h2")
-    counted = strings.join(again, ["h1", "h2"], "left_semi").select("g", "c", F.col("at").alias("low"), F.col("at").alias("high"))
-    found = cut(found.union(counted)).join(contents.filter("m = 1").select("g", "c"), ["g", "c"], "left_semi")
+    if not large.isEmpty():
+        strings = docs.mapInArrow(_windows(open_, hot), "g long, c long, at long, h1 long, h2 long").distinct()
+        again = strings.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("h1", "h2")
+        counted = strings.join(again, ["h1", "h2"], "left_semi").select("g", "c", F.col("at").alias("low"), F.col("at").alias("high"))
+        found = found.union(counted)
+    found = cut(found).join(contents.filter("m = 1").select("g", "c"), ["g", "c"], "left_semi")
     whole = contents.filter("m > 1").select("g", "c", F.lit(0).cast("long").alias("low"), (F.col("size") - LENGTH).alias("high"))
-    return pieces.join(whole.union(found), ["g", "c"]).select(
-        "doc_id", "tie", (F.col("s") + F.col("low")).alias("low"), (F.col("s") + F.col("high")).alias("high")
+    placed = pieces.join(whole.union(found), ["g", "c"]).select(
+        "doc_id", "tie", F.struct((F.col("s") + F.col("low")).alias("low"), (F.col("s") + F.col("high")).alias("high")).alias("run")
     )
+    out = written(placed.groupBy("doc_id", "tie").agg(F.collect_set("run").alias("found")), "ranges")
+    drop_written(pieces)
+    return out
 
 
 def _removed(batches):
@@ -371,8 +397,7 @@ def _removed(batches):
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, which may cut a character)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    per = ranges(docs, **options).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("low", "high")).alias("found"))
-    per = written(per, "ranges")
+    per = ranges(docs, **options)
     on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.tie") == F.col("b.tie"))
     keys = per.select("doc_id", "tie")
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS

@@ -61,6 +61,28 @@ def test_merge_of_many_shards(monkeypatch):
         assert [x.tolist() for x in repeats.repeated(pieces)] == want
 
 
+def test_merge_without_the_anchors_bytes(monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = lambda n: bytes(rng.integers(97, 99, n).astype(np.uint8))
+    whole, short, groups = [], [], []
+    for g in range(6):
+        anchor, before, after = letters(128), letters(72), letters(72)
+        for _ in range(int(rng.integers(1, 30))):
+            left = before[int(rng.integers(0, 73)) :]
+            changed = bytearray(after)
+            changed[int(rng.integers(0, 72))] ^= int(rng.integers(0, 2))
+            right = bytes(changed)
+            groups.append(g)
+            whole.append((len(left), left + anchor + right))
+            short.append((len(left), left + bytes(repeats.STAND_IN) + right))
+    starts = [range(min(q, len(p) - 200) + 1) for q, p in whole]
+    seen = Counter((g, q - i, p[i : i + 200]) for g, (q, p), at in zip(groups, whole, starts) for i in at)
+    want = [[i for i in at if seen[g, q - i, p[i : i + 200]] > 1] for g, (q, p), at in zip(groups, whole, starts)]
+    for size in (300, 4000, 1 << 15):
+        monkeypatch.setattr(repeats, "SHARD_BYTES", size)
+        assert [x.tolist() for x in repeats.repeated(short, groups)] == want
+
+
 def test_whole_table(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in queries.table(spark, sf, "documents").collect()]
     check(queries.op4_suffix_dedup(spark, sf).collect(), docs)
