@@ -5,13 +5,17 @@ as background, share one vocabulary and one way of smoothing. A document's score
 its tokens of loss under the target model minus loss under the background model: low is like the
 target.
 
-Counts cover every token of every document. Words are counted first; the shared vocabulary is the
-VOCABULARY most frequent ones, all others are one unknown word. Then bigrams of
-vocabulary entries are counted. A task counts its slice of rows before anything is shuffled, so a
-frequent word costs one row per slice. The models keep each of the BIGRAMS most frequent bigrams
-with its two counts and back off to the unigrams for the others; both bounds are parameters, which
-makes the models that go to every executor a bounded size (24 bytes a word or bigram). Equally frequent words
-or bigrams are kept or left out together.
+Both models hold every word and every bigram of the corpus with its two counts, however many there
+are. Words are counted first (a task counts its slice of rows before anything is shuffled) and kept
+as a written table. Frequent words, and bigrams of them that are frequent in a sample, go to every
+task with their exact counts over all documents, and their losses are summed per document on the
+spot; the two parameters bound how many go, which changes speed, never results. Each other bigram
+makes a row per document that holds it. These rows are dealt by bigram, which brings their count
+together with the documents that need it, and by rare word to meet its count. As what is dealt out
+is not frequent, no key is hot.
+
+Rows of documents are known by a 64-bit hash of doc_id and text, so that a second reading of the
+input in another order changes nothing; equal rows share one sum.
 
 Edge cases: a document without words, null or empty, has n_tokens 0 and null losses; documents
 without labels are background only; repeated labels count as target if any is 1; repeated rows
@@ -22,18 +26,21 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frequent import most_frequent
-from .recovery import drop_written, written
-from .shingles import Words, words
+from .recovery import cut, written
+from .shingles import Words, windows, words
 
-VOCABULARY, BIGRAMS = 1 << 16, 1 << 18
+#: So many frequent words and bigrams at most go to every task; the others are joined in.
+COMMON_WORDS, COMMON_BIGRAMS = 1 << 18, 1 << 18
+#: Tokens, about, of the sample that proposes the frequent bigrams.
+SAMPLE = 1 << 23
 #: Weight of the bigram estimate, and add-constant of the unigrams.
 BIGRAM_WEIGHT, ADD = 0.7, 0.5
 #: Up to this number, the ids of target documents go to every executor; beyond, they are joined by a shuffle.
@@ -42,27 +49,32 @@ BROADCAST_IDS = 2_000_000
 
 @dataclass
 class Models:
-    """Vocabulary (sorted hashes), its counts, and bigrams (sorted codes) with theirs; column 0 target, 1 background."""
+    """Frequent words (sorted hashes) and bigrams of them (sorted codes) with counts; column 0 target, 1 background.
+
+    total has the counts of all tokens, size the number of different words and one for words never seen.
+    """
 
     vocabulary: np.ndarray
     single: np.ndarray
     codes: np.ndarray
     pairs: np.ndarray
+    total: np.ndarray
+    size: int
+
+    def alone(self, n: np.ndarray) -> np.ndarray:
+        """Unigram probability of words with counts n."""
+        return (n + ADD) / (self.total + ADD * self.size)
 
-    @cached_property
-    def probabilities(self) -> np.ndarray:
-        size = len(self.vocabulary) + 1
-        return (self.single + ADD) / (self.single.sum(axis=0) + ADD * size)
+    def loss(self, n: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Loss in nats of bigrams with counts n, whose words have the counts first and second."""
+        return -np.log(BIGRAM_WEIGHT * n / np.maximum(first, 1) + (1 - BIGRAM_WEIGHT) * self.alone(second))
 
-    def losses(self, tokens: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Mean loss per token in nats under the two models; the first token is scored by its unigram."""
-        p = self.probabilities[tokens]
-        if len(codes) and len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            hit = (self.codes[at] == codes)[:, None]
-            given = np.maximum(self.single[tokens[:-1]], 1)
-            p[1:] = BIGRAM_WEIGHT * np.where(hit, self.pairs[at], 0) / given + (1 - BIGRAM_WEIGHT) * p[1:]
-        return -np.log(p).mean(axis=0)
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Places in codes, -1 for others."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
 
 
 def _tokens(w: Words, vocabulary: np.ndarray) -> np.ndarray:
@@ -73,25 +85,39 @@ def _tokens(w: Words, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == w.hashes, at, len(vocabulary))
 
 
-def _codes(tokens: np.ndarray, size: int) -> np.ndarray:
-    return tokens[:-1] * (size + 1) + tokens[1:]
+def _followed(w: Words) -> np.ndarray:
+    """Positions of the tokens that another of the same row follows."""
+    inside = np.ones(len(w.hashes), bool)
+    inside[w.first[1:][np.diff(w.first) > 0] - 1] = False
+    return np.flatnonzero(inside)
+
+
+def _bigrams(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens; positions, codes of the bigrams, and whether both words are in the vocabulary."""
+    tokens, at = _tokens(w, vocabulary), _followed(w)
+    known = tokens < len(vocabulary)
+    return tokens, at, tokens[at] * (len(vocabulary) + 1) + tokens[at + 1], known[at] & known[at + 1]
+
+
+def _owners(w: Words) -> np.ndarray:
+    return np.repeat(np.arange(len(w)), np.diff(w.first))
+
+
+def _flags(batch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _counted(vocabulary, pairs: bool):
-    """(key, n, n_target) of the words or bigrams of each slice of rows."""
+def _counted(vocabulary):
+    """(key, n, n_target) of the words, or of the bigrams of the vocabulary, of each slice of rows."""
 
     def run(batches):
         for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            target = _flags(batch, "target")
             for w in words(batch.column("text")):
-                counts = np.diff(w.first)
-                keys, mine = w.hashes.view(np.int64), np.repeat(target[w.row : w.row + len(w)], counts)
-                if pairs:
-                    tokens = _tokens(w, vocabulary.value)
-                    keys = _codes(tokens, len(vocabulary.value))
-                    inside = np.ones(len(tokens), bool)
-                    inside[w.first[1:][counts > 0] - 1] = False
-                    keys, mine = keys[inside[:-1]], mine[:-1][inside[:-1]]
+                keys, mine = w.hashes.view(np.int64), target[w.row + _owners(w)]
+                if vocabulary is not None:
+                    _, at, codes, known = _bigrams(w, vocabulary.value)
+                    keys, mine = codes[known], mine[at[known]]
                 found, which, n = np.unique(keys, return_inverse=True, return_counts=True)
                 n_target = np.bincount(which, weights=mine, minlength=len(found)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n), pa.array(n_target)], names=["key", "n", "n_target"])
@@ -99,49 +125,198 @@ def _counted(vocabulary, pairs: bool):
     return run
 
 
-def _top(docs: DataFrame, vocabulary, pairs: bool, most: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-    """Keys (sorted), (target, background) counts of the most frequent, and the sums over all."""
-    counts = docs.mapInArrow(_counted(vocabulary, pairs), "key long, n long, n_target long")
-    counts = written(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "counts")
-    total = counts.agg(F.coalesce(F.sum("n_target"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = most_frequent(counts, most).toPandas()
-    drop_written(counts)
-    keys = top["key"].to_numpy(np.int64)
-    keys = keys if pairs else keys.view(np.uint64)
+def _tallied(vocabulary, codes):
+    """(key, n, n_target) of the task's bigrams that are in codes."""
+
+    def run(batches):
+        m = Models(vocabulary.value, None, codes.value, None, None, 0)
+        counts = np.zeros((len(m.codes), 2), np.int64)
+        for batch in batches:
+            target = _flags(batch, "target")
+            for w in words(batch.column("text")):
+                _, at, found, _ = _bigrams(w, m.vocabulary)
+                place = m.places(found)
+                mine = target[w.row + _owners(w)[at]]
+                counts[:, 1] += np.bincount(place[place >= 0], minlength=len(counts))
+                counts[:, 0] += np.bincount(place[(place >= 0) & mine], minlength=len(counts))
+        some = np.flatnonzero(counts[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(m.codes[some]), pa.array(counts[some, 1]), pa.array(counts[some, 0])], names=["key", "n", "n_target"])
+
+    return run
+
+
+COUNTS = "key long, n long, n_target long"
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def _arrays(counts: DataFrame, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (sorted) and their (target, background) counts, on the driver."""
+    top = counts.toPandas()
+    keys = top["key"].to_numpy(np.int64).view(kind)
     order = np.argsort(keys)
-    return keys[order], top[["n_target", "n"]].to_numpy(np.int64)[order], (int(total[0]), int(total[1]))
+    return keys[order], top[["n_target", "n"]].to_numpy(np.int64)[order]
 
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Models:
-    """Models from docs (text, target boolean)."""
+def fit(docs: DataFrame, counts: DataFrame, vocabulary: int, bigrams: int) -> Models:
+    """What goes to the tasks, from docs (text, target) and the counts of all their words."""
     sc = docs.sparkSession.sparkContext
-    known, single, total = _top(docs, None, False, vocabulary)
-    other = np.array([total]) - single.sum(axis=0)
-    codes, pairs, _ = _top(docs, sc.broadcast(known), True, bigrams)
-    single = np.concatenate([single, other])
-    if not total[0]:
-        single[:, 0], pairs[:, 0] = single[:, 1], pairs[:, 1]
-    return Models(known, single, codes, pairs)
+    n, n_target, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count("*")).first()
+    known, single = _arrays(most_frequent(counts, vocabulary), np.uint64)
+    held = sc.broadcast(known)
+    some = docs.sample(fraction=SAMPLE / n, seed=1) if n > SAMPLE else docs
+    likely = cut(_summed(some.mapInArrow(_counted(held), COUNTS)).filter("n > 1"))
+    codes, _ = _arrays(most_frequent(likely, bigrams), np.int64)
+    codes, pairs = _arrays(_summed(docs.mapInArrow(_tallied(held, sc.broadcast(codes)), COUNTS)), np.int64)
+    return Models(known, single, codes, pairs, np.array([n_target, n]), size + 1)
 
 
-def _scored(models):
+def _near(models):
+    """A row per document, with the losses of its first token and its bigrams that are in the task's models."""
+
     def run(batches):
         m: Models = models.value
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
         for batch in batches:
-            ids, out = batch.column("doc_id").to_pylist(), [[], [], [], []]
+            ids, rows = batch.column("doc_id"), batch.column("row")
             for w in words(batch.column("text")):
-                tokens = _tokens(w, m.vocabulary)
-                for i in range(len(w)):
-                    own = tokens[w.first[i] : w.first[i + 1]]
-                    losses = m.losses(own, _codes(own, len(m.vocabulary))).tolist() if len(own) else (None, None)
-                    for held, x in zip(out, (ids[w.row + i], len(own), *losses)):
-                        held.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
+                tokens, at, codes, _ = _bigrams(w, m.vocabulary)
+                owners, counts, place = _owners(w), np.diff(w.first), m.places(codes)
+                hit = place >= 0
+                begin = w.first[:-1][counts > 0]
+                begin = begin[tokens[begin] < len(m.vocabulary)]
+                loss = m.loss(m.pairs[place[hit]], m.single[tokens[at[hit]]], m.single[tokens[at[hit] + 1]])
+                alone = -np.log(m.alone(m.single[tokens[begin]]))
+                loss, whose = np.concatenate([alone, loss]), np.concatenate([owners[begin], owners[at[hit]]])
+                sums = [pa.array(np.bincount(whose, weights=loss[:, i], minlength=len(w)).astype(float)) for i in (0, 1)]
+                own = [x.slice(w.row, len(w)) for x in (rows, ids)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(counts.astype(np.int64)), *sums], names=["row", "doc_id", "n_tokens", "lt", "lb"])
 
     return run
 
 
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of every different (key, owner), and their numbers; owner is in order."""
+    order = np.argsort(key, kind="stable")
+    start = _runs(key[order], owner[order])
+    return order[start], np.diff(np.append(start, len(order)))
+
+
+def _others(models):
+    """(code, row, n, target) of each document's other bigrams of frequent words."""
+
+    def run(batches):
+        m: Models = models.value
+        for batch in batches:
+            target, rows = _flags(batch, "target"), batch.column("row").to_numpy()
+            for w in words(batch.column("text")):
+                _, at, codes, known = _bigrams(w, m.vocabulary)
+                left = known & (m.places(codes) < 0)
+                codes, owner = codes[left], w.row + _owners(w)[at[left]]
+                one, n = _grouped(codes, owner)
+                found = [codes[one], rows[owner[one]], n.astype(np.int32), target[owner[one]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["code", "row", "n", "target"])
+
+    return run
+
+
+def _met(models):
+    """(row, lt, lb) from rows (code, row, n, target) sorted by code: a code's count is the sum over its rows."""
+
+    def done(m: Models, code, row, n, target):
+        start = _runs(code)
+        sizes = np.diff(np.append(start, len(code)))
+        pairs = np.stack([np.add.reduceat(n * target, start), np.add.reduceat(n, start)], axis=1)
+        a, b = np.divmod(code[start], len(m.vocabulary) + 1)
+        loss = np.repeat(m.loss(pairs, m.single[a], m.single[b]), sizes, axis=0) * n[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(loss[:, 0]), pa.array(loss[:, 1])], names=["row", "lt", "lb"])
+
+    def run(batches):
+        m: Models = models.value
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if held and held[-1][0][-1] == new[0][-1]:
+                held.append(new)
+                continue
+            held.append(new)
+            every = [np.concatenate(x) for x in zip(*held)]
+            last = int(np.searchsorted(every[0], every[0][-1]))
+            held = [[x[last:] for x in every]]
+            if last:
+                yield done(m, *[x[:last] for x in every])
+        if held:
+            yield done(m, *[np.concatenate(x) for x in zip(*held)])
+
+    return run
+
+
+RARE = "row long, a long, b long, n long, target boolean, begins boolean, rare_a boolean, rare_b boolean, at long, bt long, ab long, bb long"
+
+
+def _rare(models):
+    """Each document's bigrams, and first tokens, that have a rare word, with the counts of words that are known here."""
+    names = [x.split()[0] for x in RARE.split(", ")]
+
+    def run(batches):
+        m: Models = models.value
+        single = np.concatenate([m.single, np.zeros((1, 2), np.int64)])
+        for batch in batches:
+            target, rows = _flags(batch, "target"), batch.column("row").to_numpy()
+            for w in words(batch.column("text")):
+                tokens, at, _, known = _bigrams(w, m.vocabulary)
+                counts, owners, unknown = np.diff(w.first), _owners(w), len(m.vocabulary)
+                at = at[~known]
+                pair = windows(w.hashes, 2)
+                one, n = _grouped(pair[at], owners[at])
+                begin = w.first[:-1][counts > 0]
+                begin = begin[tokens[begin] == unknown]
+                a, b = np.append(at[one], begin), np.append(at[one] + 1, begin)
+                begins = np.arange(len(a)) >= len(one)
+                owner, hashes = w.row + owners[b], w.hashes.view(np.int64)
+                found = [
+                    rows[owner], hashes[a], hashes[b], np.append(n, np.ones(len(begin), np.int64)), target[owner], begins,
+                    (tokens[a] == unknown) & ~begins, tokens[b] == unknown, single[tokens[a], 0], single[tokens[b], 0],
+                    single[tokens[a], 1], single[tokens[b], 1],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+
+    return run
+
+
+def _rare_losses(rows: DataFrame, counts: DataFrame, m: Models) -> DataFrame:
+    """(row, lt, lb) of rows as from _rare. Rows whose word is not rare are dealt by a hash and meet no count."""
+    spread = F.xxhash64("a", "b", "begins")
+    first = counts.select(F.col("key").alias("ka"), F.col("n_target").alias("at2"), F.col("n").alias("ab2"))
+    second = counts.select(F.col("key").alias("kb"), F.col("n_target").alias("bt2"), F.col("n").alias("bb2"))
+    rows = rows.withColumns({"x": F.when(F.col("rare_a"), F.col("a")).otherwise(spread), "y": F.when(F.col("rare_b"), F.col("b")).otherwise(spread)})
+    rows = rows.join(first, (F.col("x") == F.col("ka")) & F.col("rare_a"), "left")
+    w = W.partitionBy("x", "a", "b", "begins")
+    rows = rows.withColumns({"pb": F.sum("n").over(w), "pt": F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).over(w)})
+    rows = rows.join(second, (F.col("y") == F.col("kb")) & F.col("rare_b"), "left")
+
+    def loss(t: str, total: int) -> Column:
+        a = F.when(F.col("rare_a"), F.col(f"a{t}2")).otherwise(F.col(f"a{t}"))
+        b = F.when(F.col("rare_b"), F.col(f"b{t}2")).otherwise(F.col(f"b{t}"))
+        alone = (b + ADD) / F.lit(float(total + ADD * m.size))
+        both = BIGRAM_WEIGHT * F.col(f"p{t}") / F.greatest(a, F.lit(1)) + (1 - BIGRAM_WEIGHT) * alone
+        return -F.col("n") * F.log(F.when(F.col("begins"), alone).otherwise(both))
+
+    return rows.select("row", loss("t", int(m.total[0])).alias("lt"), loss("b", int(m.total[1])).alias("lb"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text) with `target`: whether a label of quality 1 is theirs."""
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long")).dropna().distinct()
@@ -153,10 +328,29 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def score(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score), one row per document."""
-    models = fit(labelled(docs, labels), vocabulary, bigrams)
+def score(docs: DataFrame, labels: DataFrame, vocabulary: int = COMMON_WORDS, bigrams: int = COMMON_BIGRAMS) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score), one row per document.
+
+    vocabulary and bigrams bound what goes to every task, not what the models hold.
+    """
+    docs = labelled(docs, labels).withColumn("row", F.xxhash64("doc_id", "text"))
+    counts = written(_summed(docs.mapInArrow(_counted(None), COUNTS)), "counts")
+    if counts.filter("n_target > 0").isEmpty():
+        docs, counts = docs.withColumn("target", F.lit(True)), counts.withColumn("n_target", F.col("n"))
+    models = fit(docs, counts, vocabulary, bigrams)
     held = docs.sparkSession.sparkContext.broadcast(models)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = slim.mapInArrow(_scored(held), "doc_id long, n_tokens long, target_loss double, background_loss double")
+    sums = "row long, lt double, lb double"
+    near = docs.mapInArrow(_near(held), "row long, doc_id long, n_tokens long, lt double, lb double")
+    others = docs.mapInArrow(_others(held), "code long, row long, n int, target boolean")
+    others = others.repartition("code").sortWithinPartitions("code").mapInArrow(_met(held), sums)
+    rare = _rare_losses(docs.mapInArrow(_rare(held), RARE), counts, models)
+    every = near.withColumn("copies", F.lit(1)).unionByName(others.union(rare), allowMissingColumns=True)
+    out = every.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("copies").alias("copies"),
+        F.sum("lt").alias("lt"), F.sum("lb").alias("lb"),
+    )
+    mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / (F.col("copies") * F.col("n_tokens")))
+    out = out.withColumns({"target_loss": mean("lt"), "background_loss": mean("lb")})
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = out.select("doc_id", "n_tokens", "target_loss", "background_loss")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -59,3 +59,29 @@ def test_query_separates_labels(spark, sf):
     scores = queries.op5_lm_score(spark, sf).join(queries.table(spark, sf, "labels"), "doc_id")
     mean = {r["quality"]: r["m"] for r in scores.groupBy("quality").agg({"score": "avg"}).toDF("quality", "m").collect()}
     assert mean[1] < mean[0]
+
+
+def test_rare_words_and_bigrams_count(spark, sf):
+    docs = queries.table(spark, sf, "documents").filter("n_chars < 4000")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10**6, "neverseen a a neverseen otherwise"), (10**6 + 1, None)]
+    labels = queries.table(spark, sf, "labels")
+    want = brute(rows, {r["doc_id"] for r in labels.filter("quality = 1").collect()})
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for bounds in ((64, 64), (512, 0), (0, 0)):
+        got = lm_score.score(df, labels, *bounds).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(want)
+        for r in got:
+            n, target, background = want[r["doc_id"]]
+            assert r["n_tokens"] == n
+            if n:
+                assert isclose(r["target_loss"], target, rel_tol=1e-9) and isclose(r["background_loss"], background, rel_tol=1e-9)
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(1, "a b a"), (1, "a b a"), (1, "c d"), (None, "a b"), (None, "b a"), (2, "")]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, rare = (sorted((tuple(r) for r in lm_score.score(docs, labels, *x).collect()), key=repr) for x in ((9, 99), (0, 0)))
+    assert len(whole) == len(rare) == len(rows)
+    for a, b in zip(whole, rare):
+        assert a[:2] == b[:2] and all(x == y or isclose(x, y, abs_tol=1e-9) for x, y in zip(a[2:], b[2:]))
