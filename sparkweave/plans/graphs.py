@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..operators import graph
+from ..session import cut
 
 #: Directed edges between small integers, derived from keys.
 _E = """e AS (SELECT DISTINCT o_custkey % 60 AS src, (o_custkey * 7 + o_orderkey) % 61 AS dst FROM orders WHERE o_orderkey % 11 < 3)"""
@@ -116,3 +117,40 @@ def _k_core(spark, d):
 @register("graph_label_propagation")
 def _labels(spark, d):
     return graph.label_propagation(sparse(spark, d), 10)
+
+
+#: The graph of the whole tables: customer -> part -> supplier -> customer for every line of every order; keys stay apart by n mod 3.
+_A = """l AS (SELECT o_custkey * 3 AS c, l_partkey * 3 + 1 AS p, l_suppkey * 3 + 2 AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  e AS (SELECT c AS src, p AS dst FROM l UNION SELECT p, s FROM l UNION SELECT s, c FROM l)"""
+
+
+def whole_edges(spark, d):
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c, p, s = F.col("o_custkey") * 3, F.col("l_partkey") * 3 + 1, F.col("l_suppkey") * 3 + 2
+    ends = F.explode(F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in ((c, p), (p, s), (s, c))]))
+    return lines.select(ends.alias("e")).select("e.*").distinct()
+
+
+@register("graph_whole_degree", f"""WITH {_A}, n AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e), t AS (SELECT count(DISTINCT node) AS n FROM n)
+  SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, round((sum(o) + sum(i)) / (max(t.n) - 1), 9) AS centrality FROM n, t GROUP BY node""")
+def _whole_degree(spark, d):
+    return graph.degrees(cut(whole_edges(spark, d))).withColumn("centrality", F.round("centrality", 9))
+
+
+@register("graph_whole_neighbors", f"WITH {_A} SELECT dst FROM e WHERE src = 15 UNION SELECT src FROM e WHERE dst = 15")
+def _whole_neighbors(spark, d):
+    return graph.both_ways(whole_edges(spark, d)).filter("src = 15").select("dst")
+
+
+#: No twins: recursive SQL is too slow here.
+for _name, _run in {
+    "traverse": lambda e: graph.traverse(e, e.sparkSession.range(1).select(F.lit(3).cast("long").alias("node")), 64),
+    "wcc": graph.connected_components,
+    "pagerank": lambda e: graph.pagerank(e, 8, tolerance=0.0),
+    "sssp": lambda e: graph.shortest_distances(e.withColumn("weight", (F.col("src") + F.col("dst")) % 5 + 1.0), 3),
+    "triangles": lambda e: graph.triangles(e).agg(F.count("*").alias("n")),
+    "lcc": graph.clustering,
+    "k_core": lambda e: graph.k_core(e, 6),
+    "label_propagation": lambda e: graph.label_propagation(e, 10),
+}.items():
+    register(f"graph_whole_{_name}")(lambda spark, d, run=_run: run(cut(whole_edges(spark, d))))
