@@ -111,8 +111,22 @@ def _ema(spark, d):
 def _interpolate(spark, d):
     e = table(spark, d, "events").filter("user_id < 20").withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value")))
     e = e.withColumn("series", F.lit("all"))
-    w = W.partitionBy("series").orderBy("ts", "event_id")
-    return e.select("event_id", F.round(ts.interpolate(F.col("v"), F.col("ts"), w), 4).alias("v"))
+    return op.interpolate(e, "ts", "v", ["series"], "event_id").select("event_id", F.round("v", 4).alias("v"))
+
+
+@register(
+    "ts_interpolate_linear_by_type",
+    """WITH x AS (SELECT event_id, event_type, ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events),
+       g AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER b AS pt,
+             first_value(v IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN v IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER a AS nt
+             FROM x WINDOW b AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                           a AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+       SELECT event_id, round(coalesce(v, CASE WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv
+         ELSE pv + (nv - pv) * ((epoch_us(ts) - pt) / 1e6) / ((nt - pt) / 1e6) END), 4) AS v FROM g""",
+)
+def _interpolate_by_type(spark, d):
+    e = table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value")))
+    return op.interpolate(e, "ts", "v", ["event_type"], "event_id").select("event_id", F.round("v", 4).alias("v"))
 
 
 @register(
