@@ -229,8 +229,13 @@ def _linked(docs: DataFrame, slim: DataFrame, pairs: DataFrame, k: int, seed: in
     """The pairs (leader, c) that are similar, as edges."""
     pairs = cut(pairs)
     named = pairs.select(F.col("leader").alias("c")).union(pairs.select("c")).distinct()
-    ids = slim.join(named, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sets = _only(docs, cut(ids), "doc_id").mapInArrow(_ordered_sets(k, seed), "c long, n long, top binary, entries binary")
+    ids = cut(slim.join(named, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")))
+    kinds = "c long, n long, top binary, entries binary"
+    sets = _only(docs, ids.select("doc_id").dropna(), "doc_id").mapInArrow(_ordered_sets(k, seed), kinds)
+    nameless = ids.filter("doc_id is null").select("c")
+    if not nameless.isEmpty():
+        texts = docs.filter("doc_id is null").dropDuplicates(["text"])
+        sets = sets.union(_only(texts.mapInArrow(_ordered_sets(k, seed), kinds), nameless, "c").dropDuplicates(["c"]))
     sets = written(sets, "sets")
     likely = _walk(pairs, sets.select("c", "n", F.col("top").alias("entries")), top, bottom)
     edges = _walk(likely, sets.select("c", "n", "entries"), top, bottom)
@@ -238,11 +243,8 @@ def _linked(docs: DataFrame, slim: DataFrame, pairs: DataFrame, k: int, seed: in
     return edges.select(F.col("leader").alias("u"), F.col("c").alias("v"))
 
 
-def components(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the least doc_id reachable by links.
-
-    Documents link when bottom * |A and B| >= top * |A or B| for their sets of k-word shingles.
-    """
+def _rooted(docs: DataFrame, k: int, top: int, bottom: int) -> tuple[DataFrame, int]:
+    """(doc_id, n, c, root) of every document, with one root for each group of linked documents, and the seed of c."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for seed in range(99):
@@ -316,7 +318,15 @@ def components(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) ->
             held.select("token", "c", "n").join(leaders.withColumnRenamed("leader", "c"), ["token", "c"], "left_anti")
         )
         size *= 8
-    rooted = cut(slim.join(labels, "c", "left").select("doc_id", "n", F.coalesce("root", "c").alias("root")))
+    return cut(slim.join(labels, "c", "left").select("doc_id", "n", "c", F.coalesce("root", "c").alias("root"))), seed
+
+
+def components(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id, the least doc_id reachable by links.
+
+    Documents link when bottom * |A and B| >= top * |A or B| for their sets of k-word shingles.
+    """
+    rooted, _ = _rooted(docs, k, top, bottom)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = rooted.filter("n > 0").join(least, "root").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id"
@@ -327,15 +337,41 @@ def components(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) ->
     return linked.union(alone)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def _classed(k: int, seed: int):
+    """Rows with the class of their text."""
+
+    def run(batches):
+        for batch in batches:
+            classes = [0] * batch.num_rows
+            for _, row, own in _sets([batch], k):
+                classes[row] = _class_of(own, seed)[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.int64())], names=[*batch.schema.names, "_class"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) -> DataFrame:
     """docs with one document, that of the least id, of each group of linked documents.
 
-    Of rows that share a doc_id one stays; rows whose doc_id is null stay.
+    An id decides which row stays, never what is a duplicate: unlinked rows that share a doc_id all stay, and of equal
+    ones one. Rows whose doc_id is null are compared with one another only; those without words all stay.
     """
-    groups = components(docs, **options).filter("doc_id = component_id")
-    kept = cut(groups.groupBy("doc_id").agg(F.count("*").alias("rows")))
-    out = _only(docs.filter("doc_id is not null"), kept.filter("rows = 1").select("doc_id"), "doc_id")
-    again = kept.filter("rows > 1").select("doc_id")
-    if not again.isEmpty():
-        out = out.unionByName(_only(docs, again, "doc_id").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    rooted, seed = _rooted(docs, k, top, bottom)
+    least = rooted.filter("n > 0").groupBy("root", F.col("doc_id").isNull().alias("nameless"))
+    kept = least.agg(F.min(F.struct("doc_id", "c")).alias("row")).select("row.*")
+    kept = cut(kept.union(rooted.filter("n = 0 and doc_id is not null").select("doc_id", "c").distinct()))
+    shared = cut(rooted.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
+    named = kept.filter("doc_id is not null")
+    classed = lambda df: df.mapInArrow(_classed(k, seed), df.select("*", F.lit(0).cast("long").alias("_class")).schema)
+    if shared.isEmpty():
+        out = _only(docs, named.select("doc_id"), "doc_id")
+    else:
+        out = _only(docs, named.join(shared, "doc_id", "left_anti").select("doc_id"), "doc_id")
+        again = classed(_only(docs, shared, "doc_id")).join(named.withColumnRenamed("c", "_class"), ["doc_id", "_class"], "left_semi")
+        out = out.unionByName(again.dropDuplicates(["doc_id", "_class"]).drop("_class"))
+    if rooted.filter("doc_id is null").isEmpty():
+        return out.select(*docs.columns)
+    nameless = classed(docs.filter("doc_id is null"))
+    some = _only(nameless, kept.filter("doc_id is null").select(F.col("c").alias("_class")), "_class").dropDuplicates(["_class"])
+    empty = nameless.join(F.broadcast(rooted.filter("n = 0").select(F.col("c").alias("_class")).distinct()), "_class", "left_semi")
+    return out.unionByName(some.unionByName(empty).drop("_class")).select(*docs.columns)

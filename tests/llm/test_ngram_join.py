@@ -107,3 +107,23 @@ def test_repeats_and_empty(spark):
 def test_whole_table(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in queries.table(spark, sf, "documents").collect()}
     check(queries.op9_ngram_join(spark, sf).collect(), texts)
+
+
+def test_null_ids_bridge_and_ids_are_no_duplicates(spark):
+    rng = np.random.default_rng(5)
+    words_ = [f"w{i}" for i in range(200)]
+    chain = [list(words_) for _ in range(3)]
+    for i in (60, 61, 62, 63):
+        chain[1][i] = chain[2][i] = f"x{i}"
+    for i in (120, 123, 126, 129):
+        chain[2][i] = f"y{i}"
+    a, b, c = map(" ".join, chain)
+    assert len(grams(a) & grams(b)) >= 0.85 * len(grams(a) | grams(b)) and len(grams(b) & grams(c)) >= 0.85 * len(grams(b) | grams(c))
+    assert len(grams(a) & grams(c)) < 0.85 * len(grams(a) | grams(c))
+    docs = spark.createDataFrame([(1, a), (None, b), (None, b), (3, c)], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in ngram_join.components(docs).collect()) == [1, 1, 1, 1]
+    other = " ".join(rng.choice(words_, 90))
+    rows = [(1, a), (1, other), (1, a), (2, other), (None, b), (None, b), (None, ""), (None, ""), (5, ""), (6, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, a), (1, other), (None, b), (None, ""), (None, ""), (5, ""), (6, None)]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
