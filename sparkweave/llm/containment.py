@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recovery import cut
-from .shingles import mix, shingles, words
+from .shingles import Words, mix, shingles, windows, words
 
 #: One MinHash value each.
 BANDS = 48
@@ -51,6 +51,8 @@ class Items:
 
     keys: list
     sets: list
+    #: By count of words, below the width of a shingle: sorted hashes of whole items and their places in keys.
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     index: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
     least: np.ndarray | None = None
     table: np.ndarray | None = None
@@ -82,6 +84,20 @@ class Items:
         at = np.minimum(np.searchsorted(self.least, hashes[some]), len(self.least) - 1)
         return some[self.least[at] == hashes[some]]
 
+    def passages(self, w: Words) -> Iterator[tuple[int, int, int]]:
+        """(row, item, first position in the row) of the short items that stand in a row as they are."""
+        for n, (own, members) in self.short.items():
+            found = windows(w.hashes, n)
+            low, high = np.searchsorted(own, found, "left"), np.searchsorted(own, found, "right")
+            seen: set[tuple[int, int]] = set()
+            at = np.flatnonzero(low < high)
+            rows = np.searchsorted(w.first, at, side="right") - 1
+            for p, row in zip(at[at + n <= w.first[rows + 1]].tolist(), rows[at + n <= w.first[rows + 1]].tolist()):
+                for item in members[low[p] : high[p]].tolist():
+                    if (row, item) not in seen:
+                        seen.add((row, item))
+                        yield row, item, p - int(w.first[row])
+
     def candidates(self, hashes: np.ndarray, hits: np.ndarray) -> set[int]:
         """Items that share a band with some window of the document that holds one of the hits."""
         found: set[int] = set()
@@ -121,11 +137,18 @@ def item_blocks(items: DataFrame, key: str, text: str, k: int, block_bytes: int
     keys, texts, held = [], [], 0
 
     def block() -> Items:
-        sets = []
+        sets, short = [], {}
         for w in words(pa.array(texts, pa.string()), punctuation=True):
             hashes, first = shingles(w, k)
-            sets += [np.unique(hashes[first[i] : first[i + 1]]) for i in range(len(w))]
-        return Items(list(keys), sets).built()
+            for i, n in enumerate(np.diff(w.first).tolist()):
+                if 0 < n < k:
+                    short.setdefault(n, []).append((windows(w.hashes[w.first[i] : w.first[i + 1]], n)[0], len(sets)))
+                sets.append(np.unique(hashes[first[i] : first[i + 1]]) if n >= k else np.zeros(0, np.uint64))
+        items = Items(list(keys), sets)
+        for n, held in short.items():
+            held.sort()
+            items.short[n] = np.array([h for h, _ in held], np.uint64), np.array([i for _, i in held])
+        return items.built()
 
     for r in rows.toLocalIterator():
         if keys and held + len(r["text"]) > block_bytes:
@@ -145,6 +168,9 @@ def _searched(block, k: int, threshold: float):
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), [[], [], [], []]
             for w in words(batch.column("text"), punctuation=True):
+                for row, item, at in items.passages(w):
+                    for held, x in zip(out, (ids[w.row + row], items.keys[item], 1.0, at)):
+                        held.append(x)
                 hashes, first = shingles(w, k)
                 hits = items.hits(hashes)
                 cuts = np.searchsorted(hits, first)
@@ -168,7 +194,7 @@ def search(
 
     docs has doc_id and text; key is an integer column of items. Words are lower-cased (A-Z) and split at white space
     and ASCII punctuation. Edge cases: null and empty texts, on either side, match nothing; an item of fewer than k
-    words matches a document that is that sequence; repeated rows of either side give repeated matches; extra columns
+    words matches a document that holds the sequence; repeated rows of either side give repeated matches; extra columns
     are ignored; with an empty table on either side the result is empty.
     """
     spark = docs.sparkSession

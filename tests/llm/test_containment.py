@@ -58,3 +58,13 @@ def test_licenses_whole_table(spark, sf):
     items = {i: t for i, (_, t) in enumerate(licenses.TEMPLATES)}
     got = {(r["doc_id"], r["template_id"]) for r in queries.op1_license_scan(spark, sf).collect()}
     assert got == brute(docs, items) and got
+
+
+def test_short_items_inside_documents(spark):
+    items = [(1, "Alpha beta"), (2, "gamma"), (3, "one, two three four"), (4, "alpha beta"), (5, "beta delta")]
+    docs = [(1, "x y alpha, BETA z z z alpha beta"), (2, "z z alpha z z z"), (3, "beta"), (4, "delta one two three four"), (5, "so gamma"), (6, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    i = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1, 10**6):
+        got = sorted(tuple(r) for r in containment.search(d, i, "item_id", block_bytes=size).collect())
+        assert got == [(1, 1, 1.0, 2), (1, 4, 1.0, 2), (4, 3, 1.0, 1), (5, 2, 1.0, 1)]
