@@ -9,7 +9,8 @@ append() writes an arrival as it is partitioned, without a shuffle, as small sha
 groups shards of similar size in tiers (powers of `fanout`), packs each tier that holds `fanout`
 shards or more into bins of the target size, and rewrites the bins, each as one file, in one Spark
 job. Rounds go on until no tier is full; shards near the target are never rewritten. Replaced
-shards are deleted after the commit. A job that dies leaves unnamed files, which vacuum() removes.
+shards stay, so that earlier versions can be read, until vacuum(). A job that dies leaves unnamed
+files, which vacuum() removes too.
 
 The driver holds paths and sizes of shards, as Spark's own file listing does, never rows.
 
@@ -126,8 +127,6 @@ class Store:
             dealt.write.option("compression", "zstd").partitionBy("_bin").parquet(f"{self.root}/data/{folder}")
             kept = shards.join(bins, "path", "left_anti")
             self._commit(kept.union(self._written(folder, base + 1)), base)
-            for p in old:
-                self._fs.delete(self._path(f"data/{p}"), False)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version with `shard`, the shard's path in the store, and `shard_version`, that of its commit."""
@@ -143,9 +142,20 @@ class Store:
             *df.columns, "shard", "shard_version"
         )
 
-    def vacuum(self) -> None:
-        """Delete data files that the latest version doesn't name; only while no writer is at work."""
-        named = {r["path"] for r in self.manifest().select("path").collect()}
+    def vacuum(self, keep_versions: int = 1) -> None:
+        """Drop all but the latest versions, with their manifests, and data files that no version left names.
+
+        Only while no writer and no reader of a dropped version is at work.
+        """
+        if keep_versions < 1:
+            raise ValueError("the latest version stays")
+        versions = sorted(int(x) for x in self._list("versions") if x.isdigit())
+        for v in versions[:-keep_versions]:
+            entry = self._path(f"versions/{v:08d}")
+            name = self.spark.read.text(f"{self.root}/versions/{v:08d}").first()[0]
+            self._fs.delete(entry, False)
+            self._fs.delete(self._path(f"manifests/{name}"), True)
+        named = {r["path"] for v in versions[-keep_versions:] for r in self.manifest(v).select("path").collect()}
         for folder in self._list("data"):
             for r in self._written(folder, 0).select("path").collect():
                 if r["path"] not in named:

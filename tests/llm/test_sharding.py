@@ -54,3 +54,17 @@ def test_query_covers_all_rows(spark, sf):
     want = queries.table(spark, sf, "documents").select("doc_id")
     assert rows(got.select("doc_id")) == rows(want)
     assert got.filter(F.col("shard") == "").count() == 0
+
+
+def test_versions_before_a_compaction_can_be_read_until_vacuum(spark, tmp_path):
+    s = store(spark, tmp_path)
+    for i in range(4):
+        s.append(spark.createDataFrame([(i, "text")], "doc_id long, text string").coalesce(1))
+    assert s.compact() == 5
+    count = lambda v: s.read(v).count()
+    assert [count(v) for v in range(1, 6)] == [1, 2, 3, 4, 4]
+    s.vacuum(keep_versions=2)
+    assert [count(v) for v in (4, 5)] == [4, 4] and s.version() == 5
+    assert len(list((tmp_path / "store/manifests").iterdir())) == len(list((tmp_path / "store/versions").glob("0*"))) == 2
+    s.vacuum()
+    assert count(5) == 4 and len(list((tmp_path / "store/data").rglob("*.parquet"))) == 1
