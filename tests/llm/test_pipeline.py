@@ -39,3 +39,12 @@ def test_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_near_duplicates_by_five_words(spark, sf):
+    words = [f"w{i}" for i in range(1000)]
+    edited = [f"x{i}" if i % 48 == 20 else w for i, w in enumerate(words)]
+    four, five = (test_ngram_join.brute({1: " ".join(words), 2: " ".join(edited)}, k, t) for k, t in ((4, 85), (5, 80)))
+    assert four[2][1] == 2 and five[2][1] == 1
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited))], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()] == [1]
