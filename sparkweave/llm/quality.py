@@ -4,8 +4,8 @@ No user function runs: words, lines and 3-word windows are arrays built by built
 inside each row, so nothing is shuffled and a row never leaves the task that read it.
 
 Edge cases: a null or empty text has no words and fails the base rule; repeated rows are judged
-one by one; extra columns pass through :func:`judge` untouched unless they bear the name of a
-measure, which is then replaced; an empty table gives an empty result.
+one by one; extra columns pass through :func:`judge` untouched, whatever they are called, unless they bear
+the name of a measure, which is then replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,42 +60,36 @@ def _repeat_words(tokens: Column, grams: Column) -> Column:
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_stop_words."""
-    held = ("_words", "_lines", "_hashes", "_grams")
-    df = docs.withColumns({"_words": words(F.col(text)), "_lines": lines(F.col(text))})
-    w = F.col("_words")
-    df = df.withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "_hashes": F.slice(
-                F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))),
-                1,
-                F.greatest(F.size(w) - 2, F.lit(0)),
-            ),
-        }
+    df = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    df = df.withColumns({"words": words(F.col("text")), "lines": lines(F.col("text"))})
+    w = F.col("words")
+    df = df.withColumn(
+        "hashes",
+        F.slice(
+            F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))),
+            1,
+            F.greatest(F.size(w) - 2, F.lit(0)),
+        ),
     )
-    hashes = F.col("_hashes")
+    hashes = F.col("hashes")
     df = df.withColumn(
-        "_grams",
+        "grams",
         F.when(
             F.size(F.array_distinct(hashes)) < F.size(hashes),
             F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     )
-    stop = F.array(*[F.lit(x) for x in STOP_WORDS])
-    return df.withColumns(
-        {
-            "word_chars": F.length(F.concat_ws("", w)).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(whole(F.col(text)), r"[^#*$%&|<>]+", "")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.col("_grams").isNull(), F.lit(0).cast("long")).otherwise(
-                _repeat_words(w, F.col("_grams"))
-            ),
-            "n_stop_words": F.size(
-                F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*STOP_WORDS))
-            ).cast("long"),
-        }
-    ).drop(*held)
+    found = {
+        "n_words": F.size(w),
+        "word_chars": F.length(F.concat_ws("", w)),
+        "n_symbols": F.length(F.regexp_replace(whole(F.col("text")), r"[^#*$%&|<>]+", "")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": F.when(F.col("grams").isNull(), 0).otherwise(_repeat_words(w, F.col("grams"))),
+        "n_stop_words": F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*STOP_WORDS))),
+    }
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in found]
+    return df.select(*own, *[x.cast("long").alias(c) for c, x in found.items()])
 
 
 def ratios() -> dict[str, Column]:
@@ -136,9 +130,14 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass, in their own columns, whatever those are called."""
+    """The rows of docs that pass, in their own columns, whatever those are called.
+
+    A filter on kept would be pushed below the measures and repeat them inside its condition, so the verdict passes
+    an explode of one element, which filters on its output don't cross.
+    """
     packed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    return judge(packed, rules, "_text").filter("kept").select("_row.*")
+    judged = judge(packed, rules, "_text").select("_row", F.explode(F.array("kept")).alias("kept"))
+    return judged.filter("kept").select("_row.*")
 
 
 #: DuckDB twin of judge() with RULES.

@@ -29,3 +29,19 @@ def test_edges(spark):
     kept = quality.keep(docs)
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [6, 6]
     assert quality.judge(docs.limit(0)).count() == 0
+
+
+def test_filter_repeats_no_measure(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = quality.keep(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+    judged = quality.judge(docs).select("doc_id", "kept").collect()
+    assert sorted(r["doc_id"] for r in quality.keep(docs).collect()) == sorted(r["doc_id"] for r in judged if r["kept"])
+
+
+def test_clashing_names(spark):
+    text = "the word of " + " ".join(f"the w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "a", "b", "c")], "doc_id long, text string, words string, row string, hashes string")
+    got = quality.judge(docs).first()
+    assert (got["words"], got["row"], got["hashes"]) == ("a", "b", "c") and got["n_words"] == 123
+    assert quality.keep(docs).collect() == docs.collect()
