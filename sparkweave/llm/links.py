@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recovery import cut
+from .recovery import drop_written, written
 
 
 def _hung(links: DataFrame) -> DataFrame:
@@ -33,15 +33,16 @@ def _state(edges: DataFrame):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge; root is the least node of its component.
 
-    edges: (u long, v long), any direction, repeats allowed. Each round is checkpointed, so a lost
-    executor costs one round; the count of rounds grows with the logarithm of the graph's size.
+    edges: (u long, v long), any direction, repeats allowed. Each round is written, so a lost executor
+    costs one round; the count of rounds grows with the logarithm of the graph's size.
     """
-    edges = cut(
-        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = written(
+        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     before = _state(edges)
     while before[0]:
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct())
+        last, edges = edges, written(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        drop_written(last)
         after = _state(edges)
         if after == before:
             break

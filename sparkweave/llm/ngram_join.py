@@ -3,24 +3,28 @@
 1. Every document's shingle set gets a fingerprint; documents with equal sets form one class.
 2. One global order of shingles: those found in many documents last, by hash otherwise. Two sets
    with Jaccard similarity t or more share an entry among the first n - ceil(t n) + 1 of each, so
-   only classes that share such an entry are compared.
-3. Within the classes that share an entry, some are leaders; leaders are compared with all others
-   unless a component already holds both. Leaders then leave the entry, and rounds go on until
-   each entry's remaining classes lie in one component. No pair is skipped that could join two
-   components, and a group of near copies costs a number of comparisons that grows with its size.
-4. A leader's candidates are walked as a prefix tree of sets in hash order: candidates in
+   only classes that share such an entry are compared. The entries travel as packed arrays, a row
+   for each batch of documents and bucket of shingles; a task that holds a bucket keeps those of
+   two classes or more, and equal groups of classes once.
+3. The least class of a group is compared with the others. If classes of the group are then in
+   different components, up to 16, then 256, then ... of them are compared with all others unless a
+   component already holds both, until each group's remaining classes lie in one component. No pair
+   is skipped that could join two components, and a group of near copies costs a number of
+   comparisons that grows with its size.
+4. A leader's candidates are walked as a prefix tree of sets in the global order: candidates in
    lexicographic order share the overlap counted along their common path, and a path ends when
    the entries that remain cannot reach the overlap that the threshold needs. The tree is walked
-   in two parts: its top, the entries in the first quarter of the hash range, rules out nearly
-   all that are not alike; only the others send their whole sets.
+   in two parts: its top, the rarer shingles in the first quarter of the hash range at half their
+   bits, rules out nearly all that are not alike; only the others send their whole sets.
 5. Components of the verified links, by alternating stars.
 
-Sets are compared by 64-bit shingle hashes; a collision within a pair has a chance below 1e-12.
+Sets are compared by 63-bit shingle hashes; a collision within a pair has a chance below 1e-12.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing (their component
 is their own id); a text shorter than a shingle has one shingle, the whole sequence; repeated rows
 and rows that share a doc_id have equal components if their sets are equal; a null doc_id gets the
-least id of its component, or null; extra columns are ignored; an empty table gives an empty result.
+least id of its component, or null; extra columns are ignored, whatever they are called; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,21 +42,27 @@ from .recovery import cut, drop_written, written
 from .shingles import mix, shingles, words
 
 #: Shingles found in more documents than this come last in the global order, at most LATE of them.
-COMMON, LATE = 8, 1 << 18
-#: Leaders of an entry in the first round, its classes of least key: one group of near copies has much the same
-#: least class at all its entries, so few leaders in all. Each further round has eight times as many.
-LEADERS = 1
-#: Candidates in one prefix tree, and the hash at which its top ends.
-TREE, TOP = 128, np.uint64(1 << 62)
+COMMON, LATE = 8, 1 << 21
+#: Leaders of a group in its second round; each further round has as many times more.
+LEADERS = 16
+#: Candidates in one prefix tree.
+TREE = 512
+#: Order keys: one bit for late shingles, 63 of the hash. The tree's top ends at TOP and leaves out LOW bits.
+LAST, TOP, LOW = np.uint64(1 << 63), np.uint64(1 << 61), np.uint64(29)
+#: Entries that one task takes at once, about.
+BUCKET = 1 << 20
 #: Keys up to this number are broadcast to filter a scan; beyond it, a shuffle join does the same.
 BROADCAST_KEYS = 1_000_000
+#: Classes that a task remembers to have sent; what is sent again is only redundant.
+SEEN = 200_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
-    """(ids, row, its distinct shingle hashes in increasing order) for every row."""
+    """(batch, row, its distinct shingle hashes in increasing order) for every row."""
     for batch in batches:
         for w in words(batch.column("text")):
             hashes, first = shingles(w, k)
+            hashes = hashes >> np.uint64(1)
             for i in range(len(w)):
                 yield batch, w.row + i, np.unique(hashes[first[i] : first[i + 1]])
 
@@ -84,13 +94,13 @@ def _fingerprints(k: int, seed: int):
 
 
 def _low_counts(k: int, top: int, bottom: int):
-    """Shingles in the first places of the hash order, counted by document within a batch."""
+    """Shingles in the first places of the hash order, half as many again as a prefix has, counted by document within a batch."""
 
     def run(batches):
         for batch in batches:
             held = []
             for _, _, own in _sets([batch], k):
-                held.append(own[: 2 * _prefix(len(own), top, bottom)])
+                held.append(own[: 3 * _prefix(len(own), top, bottom) // 2])
             tokens, counts = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
@@ -98,50 +108,136 @@ def _low_counts(k: int, top: int, bottom: int):
 
 
 def _ordered(own: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """own (increasing) in the global order."""
+    """Order keys of own (increasing), in the global order."""
     if not len(late) or not len(own):
         return own
     at = np.minimum(np.searchsorted(late, own), len(late) - 1)
     last = late[at] == own
-    return np.concatenate([own[~last], own[last]])
+    return np.concatenate([own[~last], own[last] | LAST])
 
 
-def _prefixes(k: int, top: int, bottom: int, seed: int, late):
+def _entries(k: int, top: int, bottom: int, seed: int, late, buckets: int):
+    """Packed prefix entries: a row per batch, bucket of shingles and kind, with arrays of keys, classes and set sizes."""
+
     def run(batches):
         seen: set[int] = set()
+        schema = pa.schema([("bucket", pa.int32()), ("late", pa.bool_()), *((x, pa.binary()) for x in ("keys", "classes", "sizes"))])
         for batch in batches:
-            tokens, classes, sizes = [np.zeros(0, np.uint64)], [], []
+            keys, found = [np.zeros(0, np.uint64)], []
             for _, _, own in _sets([batch], k):
                 c, _ = _class_of(own, seed)
                 if c in seen or not len(own):
                     continue
-                if len(seen) < 200_000:  # a bounded memory of classes already sent; repeats are only redundant
+                if len(seen) < SEEN:
                     seen.add(c)
-                head = _ordered(own, late.value)[: _prefix(len(own), top, bottom)]
-                tokens.append(head)
-                classes.append((c, len(head)))
-                sizes.append((len(own), len(head)))
-            rep = lambda x: np.repeat(np.array([a for a, _ in x], np.int64), [b for _, b in x])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(rep(classes)), pa.array(rep(sizes))],
-                names=["token", "c", "n"],
-            )
+                keys.append(_ordered(own, late.value)[: _prefix(len(own), top, bottom)])
+                found.append((c, len(own), len(keys[-1])))
+            keys = np.concatenate(keys)
+            classes, sizes, lengths = (np.array(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            classes, sizes = np.repeat(classes, lengths), np.repeat(sizes, lengths).astype(np.int32)
+            last = keys >= LAST
+            place = (mix(keys) % np.uint64(buckets)).astype(np.int64)
+            place[last] = buckets + mix(classes[last].view(np.uint64)).astype(np.int64) % buckets
+            order = np.argsort(place, kind="stable")
+            cuts = np.flatnonzero(np.diff(place[order], prepend=-1, append=-1))
+            out = [[], [], [], [], []]
+            for a, b in zip(cuts[:-1], cuts[1:]) if len(order) else ():
+                own, kind = order[a:b], int(place[order[a]])
+                for held, x in zip(out, (kind % buckets, kind >= buckets, keys[own].tobytes(), classes[own].tobytes(), sizes[own].tobytes())):
+                    held.append(x)
+            yield _emit(out, schema)
 
     return run
 
 
-def _ordered_sets(k: int, seed: int):
-    """Sets in hash order, whole and as far as the top of the tree."""
+def _alike(a: np.ndarray, b: np.ndarray, top: int, bottom: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(a, b) * bottom >= np.maximum(a, b) * top
+
+
+FOUND = "kind int, h long, c long, n long"
+#: Kinds of rows: a pair of classes to compare (h, c); a class c of the group h whose leader has its pairs; one of a late shingle h.
+PAIR, MEMBER, LOOSE = 0, 1, 2
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of one of every different (a, b), ordered by both."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order[fresh]
+
+
+def groups_of(keys: np.ndarray, classes: np.ndarray, sizes: np.ndarray, top: int, bottom: int):
+    """(pairs to compare, (group, class, size) of the classes that may have to be compared further) of whole buckets."""
+    some = _distinct(keys, classes)
+    keys, classes, sizes = keys[some], classes[some], sizes[some].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    m = np.diff(np.append(first, len(keys)))
+    first, m = first[m > 1], m[m > 1]
+    at = np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())
+    begins = np.cumsum(m) - m
+    named = np.add.reduceat(mix(classes[at].view(np.uint64)), begins) if len(begins) else np.zeros(0, np.uint64)
+    once = np.unique(named, return_index=True)[1]
+    first, m, named = first[once], m[once], named[once].view(np.int64)
+    rest = np.repeat(first + 1 - np.cumsum(m - 1) + m - 1, m - 1) + np.arange((m - 1).sum())
+    leader = np.repeat(first, m - 1)
+    near = _alike(sizes[leader], sizes[rest], top, bottom)
+    pairs = np.stack([classes[leader[near]], classes[rest[near]]])
+    pairs = pairs[:, _distinct(*pairs)]
+    more = np.repeat(m > 2, m - 1)
+    return pairs, (np.repeat(named, m - 1)[more], classes[rest[more]], sizes[rest[more]])
+
+
+def _shared(top: int, bottom: int):
+    """Rows sorted by bucket: what the entries of each bucket, and of late shingles, give."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
+
+    def rows(kind: int, h, c, n):
+        columns = [np.full(len(h), kind, np.int32), np.asarray(h).view(np.int64), c, np.asarray(n, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+    def close(held):
+        if held:
+            pairs, members = groups_of(*(np.concatenate(x) for x in zip(*held)), top, bottom)
+            yield rows(PAIR, pairs[0], pairs[1], np.zeros(pairs.shape[1]))
+            yield rows(MEMBER, *members)
 
     def run(batches):
-        schema = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("top", pa.binary()), ("entries", pa.binary())])
+        now, held = None, []
         for batch in batches:
-            out = [[], [], [], []]
+            for bucket, late, *packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                keys, classes, sizes = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint64, np.int64, np.int32)))
+                if late:
+                    yield rows(LOOSE, keys, classes, sizes)
+                    continue
+                if bucket != now:
+                    yield from close(held)
+                    now, held = bucket, []
+                held.append((keys, classes, sizes))
+        yield from close(held)
+
+    return run
+
+
+def _ordered_sets(k: int, seed: int, late, whole: bool):
+    """Sets in the global order: whole, or the top of the tree at half the bits."""
+
+    def run(batches):
+        schema = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("entries", pa.binary())])
+        seen: set[int] = set()
+        for batch in batches:
+            out = [[], [], []]
             for _, _, own in _sets([batch], k):
-                out[0].append(_class_of(own, seed)[0])
-                out[1].append(len(own))
-                out[2].append(own[: np.searchsorted(own, TOP)].tobytes())
-                out[3].append(own.tobytes())
+                c, keys = _class_of(own, seed)[0], _ordered(own, late.value)
+                if c in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(c)
+                entries = keys if whole else (keys[: np.searchsorted(keys, TOP)] >> LOW).astype(np.uint32)
+                for held, x in zip(out, (c, len(own), entries.tobytes())):
+                    held.append(x)
             yield _emit(out, schema)
 
     return run
@@ -158,7 +254,7 @@ def walk_tree(
     overlap counted so far, and stop once the entries left cannot lift it to what both sizes need.
     """
     found = []
-    last, total = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    last, total = np.zeros(0, leader.dtype), np.zeros(1, np.int64)
     for key, n, path in sorted(candidates, key=lambda x: x[2].astype(">u8").tobytes()):
         shared = min(len(last), len(path), len(total) - 1)
         apart = np.flatnonzero(last[:shared] != path[:shared])
@@ -176,7 +272,7 @@ def walk_tree(
     return found
 
 
-def _walked(top: int, bottom: int):
+def _walked(top: int, bottom: int, kind):
     """Rows sorted by (leader, part, role): first the leader's own set, then its candidates'."""
 
     def run(batches):
@@ -192,7 +288,7 @@ def _walked(top: int, bottom: int):
         for batch in batches:
             cols = [batch.column(x).to_pylist() for x in ("leader", "part", "c", "n", "entries")]
             for leader, part, c, n, entries in zip(*cols):
-                path = np.frombuffer(entries, np.uint64)
+                path = np.frombuffer(entries, kind)
                 if (leader, part) != now:
                     close()
                     now, own, size, held = (leader, part), path, n, []
@@ -206,7 +302,7 @@ def _walked(top: int, bottom: int):
     return run
 
 
-def _walk(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
+def _walk(pairs: DataFrame, sets: DataFrame, top: int, bottom: int, kind) -> DataFrame:
     """The pairs (leader, c) that the tree walk over sets (c, n, entries) doesn't rule out."""
     parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / TREE).alias("parts"))
     dealt = pairs.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))
@@ -215,8 +311,8 @@ def _walk(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame
     heads = heads.join(sets.withColumnRenamed("c", "leader"), "leader").select(
         "leader", "part", F.lit(0).alias("role"), F.col("leader").alias("c"), "n", "entries"
     )
-    rows = heads.union(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
-    return cut(rows.mapInArrow(_walked(top, bottom), "leader long, c long"))
+    rows = heads.union(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role", "c")
+    return written(rows.mapInArrow(_walked(top, bottom, kind), "leader long, c long"), "walked")
 
 
 def _only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -225,24 +321,48 @@ def _only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
 
 
-def _linked(docs: DataFrame, slim: DataFrame, pairs: DataFrame, k: int, seed: int, top: int, bottom: int) -> DataFrame:
-    """The pairs (leader, c) that are similar, as edges."""
-    pairs = cut(pairs)
+def _sets_of(docs: DataFrame, slim: DataFrame, pairs: DataFrame, build) -> DataFrame:
+    """(c, n, entries) of the classes in pairs, each from its documents of least id."""
     named = pairs.select(F.col("leader").alias("c")).union(pairs.select("c")).distinct()
-    ids = cut(slim.join(named, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")))
-    kinds = "c long, n long, top binary, entries binary"
-    sets = _only(docs, ids.select("doc_id").dropna(), "doc_id").mapInArrow(_ordered_sets(k, seed), kinds)
+    ids = written(slim.join(named, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "ids")
+    kinds = "c long, n long, entries binary"
+    sets = _only(docs, ids.select("doc_id").dropna(), "doc_id").mapInArrow(build, kinds)
     nameless = ids.filter("doc_id is null").select("c")
     if not nameless.isEmpty():
         texts = docs.filter("doc_id is null").dropDuplicates(["text"])
-        sets = sets.union(_only(texts.mapInArrow(_ordered_sets(k, seed), kinds), nameless, "c").dropDuplicates(["c"]))
+        sets = sets.union(_only(texts.mapInArrow(build, kinds), nameless, "c").dropDuplicates(["c"]))
     sets = written(sets, "sets")
-    likely = _walk(pairs, sets.select("c", "n", F.col("top").alias("entries")), top, bottom)
-    edges = _walk(likely, sets.select("c", "n", "entries"), top, bottom)
-    drop_written(sets)
+    drop_written(ids)
+    return sets
+
+
+def _linked(docs: DataFrame, slim: DataFrame, pairs: DataFrame, k: int, seed: int, late, top: int, bottom: int) -> DataFrame:
+    """The pairs (leader, c) that are similar, as edges."""
+    pairs = written(pairs, "pairs")
+    tops = _sets_of(docs, slim, pairs, _ordered_sets(k, seed, late, False))
+    likely = _walk(pairs, tops, top, bottom, np.uint32)
+    drop_written(pairs, tops)
+    sets = _sets_of(docs, slim, likely, _ordered_sets(k, seed, late, True))
+    edges = _walk(likely, sets, top, bottom, np.uint64)
+    drop_written(likely, sets)
     return edges.select(F.col("leader").alias("u"), F.col("c").alias("v"))
 
 
+def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(c, root) of all linked classes, with the links found between classes joined in."""
+    if labels is None:
+        return cut(links.components(found).select(F.col("node").alias("c"), "root"))
+    root = lambda x: labels.select(F.col("c").alias(x), F.col("root").alias(f"{x}_root"))
+    found = found.join(root("u"), "u", "left").join(root("v"), "v", "left").select(
+        F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")
+    )
+    roots = links.components(found)
+    moved = labels.join(roots.withColumnRenamed("root", "top"), labels["root"] == roots["node"], "left")
+    moved = moved.select("c", F.coalesce("top", "root").alias("root"))
+    fresh = roots.select(F.col("node").alias("c"), "root").join(labels.select("c"), "c", "left_anti")
+    return cut(moved.union(fresh))
+
+
 def _rooted(docs: DataFrame, k: int, top: int, bottom: int) -> tuple[DataFrame, int]:
     """(doc_id, n, c, root) of every document, with one root for each group of linked documents, and the seed of c."""
     spark = docs.sparkSession
@@ -256,69 +376,52 @@ def _rooted(docs: DataFrame, k: int, top: int, bottom: int) -> tuple[DataFrame,
     common = docs.mapInArrow(_low_counts(k, top, bottom), "token long, n long")
     common = cut(common.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON))
     late = most_frequent(common, LATE).select("token").toPandas()["token"].to_numpy(np.int64)
-    late = np.sort(late.view(np.uint64))
-    late = spark.sparkContext.broadcast(late)
-    heads = written(docs.mapInArrow(_prefixes(k, top, bottom, seed, late), "token long, c long, n long"), "heads")
-    tokens = heads.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
-    tokens = cut(tokens.filter("low < high"))
-    twos = tokens.filter("m = 2").select(F.col("low").alias("leader"), F.col("high").alias("c")).distinct()
-    group = cut(_only(heads, tokens.filter("m > 2").select("token"), "token").distinct())
-    sizes = slim.groupBy("c").agg(F.first("n").alias("n"))
-    near = (F.least("n", "n2") * bottom >= F.greatest("n", "n2") * top)
-    twos = twos.join(sizes, "c").join(
-        sizes.select(F.col("c").alias("leader"), F.col("n").alias("n2")), "leader"
-    ).filter(near).select("leader", "c")
-    labels, size = None, LEADERS
+    late = spark.sparkContext.broadcast(np.sort(late.view(np.uint64)))
+    drop_written(common)
+    many = slim.groupBy("c").agg(F.first("n").alias("n")).agg(F.sum(F.col("n") * (bottom - top) / bottom + 1)).first()[0]
+    buckets = int((many or 0) // BUCKET) + 1
+    found = docs.mapInArrow(
+        _entries(k, top, bottom, seed, late, buckets), "bucket int, late boolean, keys binary, classes binary, sizes binary"
+    )
+    found = found.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = written(found.mapInArrow(_shared(top, bottom), FOUND), "found")
+    pairs = found.filter(F.col("kind") == PAIR).select(F.col("h").alias("leader"), "c")
+    loose = found.filter(F.col("kind") == LOOSE).select("h", "c", "n").distinct()
+    leaders = loose.groupBy("h").agg(F.min(F.struct("c", "n")).alias("a"), F.max("c").alias("b")).filter("a.c < b")
+    leaders = written(leaders.select("h", F.col("a.c").alias("leader"), F.col("a.n").alias("n2")), "leaders")
+    loose = written(loose.join(leaders, "h").filter("c > leader"), "loose")
+    near = F.least("n", "n2") * bottom >= F.greatest("n", "n2") * top
+    pairs = pairs.union(loose.filter(near).select("leader", "c")).distinct()
+    labels = _relabelled(None, _linked(docs, slim, pairs, k, seed, late, top, bottom))
+    group = written(found.filter(F.col("kind") == MEMBER).select("h", "c", "n").union(loose.select("h", "c", "n")), "group")
+    drop_written(found, leaders, loose)
+    size = LEADERS
     while True:
-        held = group.withColumn("part", F.col("c"))
-        if labels is not None:
-            held = group.join(labels, "c", "left").withColumn("part", F.coalesce("root", "c")).drop("root")
-        stats = held.groupBy("token", "part").agg(F.count("*").alias("m")).groupBy("token").agg(
-            F.max(F.struct("m", "part"))["part"].alias("most"), F.count("*").alias("parts")
+        held = group.join(labels, "c", "left").select("h", "c", "n", F.coalesce("root", "c").alias("part"))
+        stats = held.groupBy("h", "part").agg(F.count("*").alias("m")).groupBy("h").agg(
+            F.max(F.struct("m", "part"))["part"].alias("most"), F.count("*").alias("parts"), F.sum("m").alias("all")
         )
-        held = cut(held.join(stats.filter("parts > 1").drop("parts"), "token"))
-        leaders = (
-            held.filter(F.col("part") != F.col("most"))
-            .groupBy("token", F.pmod(F.xxhash64("c"), F.lit(size)).alias("salt"))
-            .agg(F.min("c").alias("leader"))
-            .select("token", "leader")
-        )
-        leaders = cut(leaders)
-        last = leaders.isEmpty()
-        if last and labels is not None:
+        held = written(held.join(stats.filter("parts > 1").drop("parts"), "h"), "held")
+        salt = F.when(F.col("all") <= size, F.col("c")).otherwise(F.pmod(F.xxhash64("c"), F.lit(size)))
+        leaders = held.filter(F.col("part") != F.col("most")).groupBy("h", salt.alias("salt"))
+        leaders = leaders.agg(F.min(F.struct("c", "n", "part")).alias("a"))
+        leaders = written(leaders.select("h", F.col("a.c").alias("leader"), F.col("a.n").alias("n2"), F.col("a.part").alias("part2")), "leaders")
+        drop_written(group)
+        if leaders.isEmpty():
             break
-        pairs = held.join(leaders, "token").join(
-            held.select("token", F.col("c").alias("leader"), F.col("n").alias("n2"), F.col("part").alias("part2")),
-            ["token", "leader"],
-        )
-        pairs = pairs.filter(near & (F.col("part") != F.col("part2"))).select(
+        pairs = held.join(leaders, "h").filter(near & (F.col("part") != F.col("part2"))).select(
             F.least("leader", "c").alias("leader"), F.greatest("leader", "c").alias("c")
         ).distinct()
-        if labels is None:
-            pairs = pairs.union(twos).distinct()
-        found = _linked(docs, slim, pairs, k, seed, top, bottom)
-        if labels is not None:
-            root = lambda x: (
-                labels.select(F.col("c").alias(x), F.col("root").alias(f"{x}_root"))
-            )
-            found = found.join(root("u"), "u", "left").join(root("v"), "v", "left").select(
-                F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")
-            )
-        roots = links.components(found)
-        if labels is None:
-            labels = roots.select(F.col("node").alias("c"), "root")
-        else:
-            moved = labels.join(roots.withColumnRenamed("root", "top"), labels["root"] == roots["node"], "left")
-            moved = moved.select("c", F.coalesce("top", "root").alias("root"))
-            fresh = roots.select(F.col("node").alias("c"), "root").join(labels.select("c"), "c", "left_anti")
-            labels = cut(moved.union(fresh))
-        if last:
-            break
-        group = cut(
-            held.select("token", "c", "n").join(leaders.withColumnRenamed("leader", "c"), ["token", "c"], "left_anti")
+        last, labels = labels, _relabelled(labels, _linked(docs, slim, pairs, k, seed, late, top, bottom))
+        group = written(
+            held.select("h", "c", "n").join(leaders.select("h", F.col("leader").alias("c")), ["h", "c"], "left_anti"), "group"
         )
-        size *= 8
-    return cut(slim.join(labels, "c", "left").select("doc_id", "n", "c", F.coalesce("root", "c").alias("root"))), seed
+        drop_written(last, held, leaders)
+        size *= LEADERS
+    drop_written(held, leaders)
+    out = cut(slim.join(labels, "c", "left").select("doc_id", "n", "c", F.coalesce("root", "c").alias("root")))
+    drop_written(slim, labels)
+    return out, seed
 
 
 def components(docs: DataFrame, k: int = 4, top: int = 85, bottom: int = 100) -> DataFrame:

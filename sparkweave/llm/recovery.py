@@ -1,7 +1,8 @@
-"""Lineage cuts that survive the loss of executors."""
+"""Intermediate tables in the cluster's shared folder: lineage cuts that survive the loss of executors."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,37 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; only where that is unset (tests) a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder from spark.checkpoint.dir; where that is unset, a local one in local mode only."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        sc = spark.sparkContext
-        folder = sc.getCheckpointDir()
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-            sc.setCheckpointDir(folder)
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df (eagerly) in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under the shared folder and read again: smaller on disk than a checkpoint."""
+    """df written as Parquet under the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a DataFrame from written()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame | None) -> None:
+    """Delete the files behind DataFrames from written()."""
+    for df in tables:
+        if df is None:
+            continue
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a written table, smaller on disk than a checkpoint."""
+    return written(df, "cut")
