@@ -1,16 +1,19 @@
 """N-gram Jaccard join: groups of documents whose word shingle sets are alike.
 
 1. Every document's shingle set gets a fingerprint; documents with equal sets form one class.
-2. One global order of shingles: those found in many documents last, by hash otherwise. Two sets
+2. One global order of shingles: those found in many documents last, by their counts, the others by hash. Two sets
    with Jaccard similarity t or more share an entry among the first n - ceil(t n) + 1 of each, so
    only classes that share such an entry are compared. The entries travel as packed arrays, a row
    for each batch of documents and bucket of shingles; a task that holds a bucket keeps those of
-   two classes or more, and equal groups of classes once.
-3. The least class of a group is compared with the others. If classes of the group are then in
-   different components, up to 16, then 256, then ... of them are compared with all others unless a
-   component already holds both, until each group's remaining classes lie in one component. No pair
-   is skipped that could join two components, and a group of near copies costs a number of
-   comparisons that grows with its size.
+   two classes or more, and equal groups of classes once. At the first shared entry of a pair, what
+   follows in either set bounds the overlap; pairs for which it is too little at an entry are not
+   compared for that entry's sake. As rare shingles come first, an edited copy of a common text has
+   used up its allowance before its common shingles begin.
+3. The class of a group that has the entry earliest, so the one with the fewest rare shingles, is
+   compared with the others. If classes of the group are then in different components, up to 16, then
+   256, then ... of them are compared with all others unless a component already holds both, until
+   each group's remaining classes lie in one component. No pair is skipped that could join two
+   components, and a group of near copies costs a number of comparisons that grows with its size.
 4. A leader's candidates are walked as a prefix tree of sets in the global order: candidates in
    lexicographic order share the overlap counted along their common path, and a path ends when
    the entries that remain cannot reach the overlap that the threshold needs. The tree is walked
@@ -47,10 +50,10 @@ COMMON, LATE = 8, 1 << 21
 LEADERS = 16
 #: Candidates in one prefix tree.
 TREE = 512
-#: Order keys: one bit for late shingles, 63 of the hash. The tree's top ends at TOP and leaves out LOW bits.
+#: Order keys: one bit for late shingles, before their places, or 63 of the hash. The tree's top ends at TOP and leaves out LOW bits.
 LAST, TOP, LOW = np.uint64(1 << 63), np.uint64(1 << 61), np.uint64(29)
 #: Entries that one task takes at once, about.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 #: Keys up to this number are broadcast to filter a scan; beyond it, a shuffle join does the same.
 BROADCAST_KEYS = 1_000_000
 #: Classes that a task remembers to have sent; what is sent again is only redundant.
@@ -93,35 +96,73 @@ def _fingerprints(k: int, seed: int):
     return run
 
 
-def _low_counts(k: int, top: int, bottom: int):
-    """Shingles in the first places of the hash order, half as many again as a prefix has, counted by document within a batch."""
+def _counted(k: int, top: int, bottom: int, seed: int, late=None):
+    """Shingles in the first places of the hash order, half as many again as a prefix has, counted by class within a batch.
+
+    With late, all shingles of those documents of whose first ones a third or more are late: in the global order they
+    reach further.
+    """
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            held = []
+            held = [np.zeros(0, np.uint64)]
             for _, _, own in _sets([batch], k):
-                held.append(own[: 3 * _prefix(len(own), top, bottom) // 2])
-            tokens, counts = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+                low = own[: 3 * _prefix(len(own), top, bottom) // 2]
+                if late is not None and 3 * _member(late.value, low).sum() < max(len(low), 1):
+                    continue
+                c, _ = _class_of(own, seed)
+                if c in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(c)
+                held.append(low if late is None else own)
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
     return run
 
 
-def _ordered(own: np.ndarray, late: np.ndarray) -> np.ndarray:
+def _member(known: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whether entries of own are in known (sorted)."""
+    if not len(known):
+        return np.zeros(len(own), bool)
+    return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+
+
+def _common(docs: DataFrame, k: int, top: int, bottom: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The late shingles, sorted, and the place of each among them, the most common last."""
+    sc, found = docs.sparkSession.sparkContext, None
+    for _ in range(2):
+        late = found and sc.broadcast(np.sort(found.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)))
+        counts = docs.mapInArrow(_counted(k, top, bottom, seed, late), "token long, n long")
+        counts = cut(counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON))
+        if found is not None:
+            counts, last = cut(counts.union(found).groupBy("token").agg(F.max("n").alias("n"))), (counts, found)
+            drop_written(*last)
+        found = most_frequent(counts, LATE)
+    rows = found.toPandas()
+    drop_written(counts)
+    tokens, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    rank = np.empty(len(tokens), np.uint64)
+    rank[np.lexsort((tokens, n))] = np.arange(len(tokens), dtype=np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], rank[order]
+
+
+def _ordered(own: np.ndarray, late: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Order keys of own (increasing), in the global order."""
-    if not len(late) or not len(own):
-        return own
-    at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-    last = late[at] == own
-    return np.concatenate([own[~last], own[last] | LAST])
+    known, rank = late
+    last = _member(known, own)
+    return np.concatenate([own[~last], np.sort(rank[np.searchsorted(known, own[last])] | LAST)])
 
 
 def _entries(k: int, top: int, bottom: int, seed: int, late, buckets: int):
-    """Packed prefix entries: a row per batch, bucket of shingles and kind, with arrays of keys, classes and set sizes."""
+    """Packed prefix entries: a row per batch, bucket of shingles and kind, with arrays of keys, classes, set sizes and places in the sets."""
 
     def run(batches):
         seen: set[int] = set()
-        schema = pa.schema([("bucket", pa.int32()), ("late", pa.bool_()), *((x, pa.binary()) for x in ("keys", "classes", "sizes"))])
+        schema = pa.schema([("bucket", pa.int32()), ("late", pa.bool_()), *((x, pa.binary()) for x in ("keys", "classes", "sizes", "places"))])
         for batch in batches:
             keys, found = [np.zeros(0, np.uint64)], []
             for _, _, own in _sets([batch], k):
@@ -134,28 +175,30 @@ def _entries(k: int, top: int, bottom: int, seed: int, late, buckets: int):
                 found.append((c, len(own), len(keys[-1])))
             keys = np.concatenate(keys)
             classes, sizes, lengths = (np.array(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            at = (np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
             classes, sizes = np.repeat(classes, lengths), np.repeat(sizes, lengths).astype(np.int32)
             last = keys >= LAST
             place = (mix(keys) % np.uint64(buckets)).astype(np.int64)
             place[last] = buckets + mix(classes[last].view(np.uint64)).astype(np.int64) % buckets
             order = np.argsort(place, kind="stable")
             cuts = np.flatnonzero(np.diff(place[order], prepend=-1, append=-1))
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for a, b in zip(cuts[:-1], cuts[1:]) if len(order) else ():
                 own, kind = order[a:b], int(place[order[a]])
-                for held, x in zip(out, (kind % buckets, kind >= buckets, keys[own].tobytes(), classes[own].tobytes(), sizes[own].tobytes())):
+                for held, x in zip(out, (kind % buckets, kind >= buckets, keys[own].tobytes(), classes[own].tobytes(), sizes[own].tobytes(), at[own].tobytes())):
                     held.append(x)
             yield _emit(out, schema)
 
     return run
 
 
-def _alike(a: np.ndarray, b: np.ndarray, top: int, bottom: int) -> np.ndarray:
-    """Whether sets of these sizes can be similar enough."""
-    return np.minimum(a, b) * bottom >= np.maximum(a, b) * top
+def _alike(n, at, n2, at2, top: int, bottom: int):
+    """Whether sets of these sizes, whose first shared entry has these places, can be similar enough; arrays or Columns."""
+    need = top * (n + n2)
+    return ((n - at) * (top + bottom) >= need) & ((n2 - at2) * (top + bottom) >= need)
 
 
-FOUND = "kind int, h long, c long, n long"
+FOUND = "kind int, h long, c long, n long, at long"
 #: Kinds of rows: a pair of classes to compare (h, c); a class c of the group h whose leader has its pairs; one of a late shingle h.
 PAIR, MEMBER, LOOSE = 0, 1, 2
 
@@ -169,53 +212,56 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order[fresh]
 
 
-def groups_of(keys: np.ndarray, classes: np.ndarray, sizes: np.ndarray, top: int, bottom: int):
-    """(pairs to compare, (group, class, size) of the classes that may have to be compared further) of whole buckets."""
+def groups_of(keys: np.ndarray, classes: np.ndarray, sizes: np.ndarray, places: np.ndarray, top: int, bottom: int):
+    """(pairs to compare, (group, class, size, place) of the classes that may have to be compared further) of whole buckets."""
     some = _distinct(keys, classes)
-    keys, classes, sizes = keys[some], classes[some], sizes[some].astype(np.int64)
+    keys, classes, sizes, places = keys[some], classes[some], sizes[some].astype(np.int64), places[some].astype(np.int64)
+    order = np.lexsort((places, keys))
+    keys, classes, sizes, places = keys[order], classes[order], sizes[order], places[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     m = np.diff(np.append(first, len(keys)))
     first, m = first[m > 1], m[m > 1]
     at = np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())
     begins = np.cumsum(m) - m
     named = np.add.reduceat(mix(classes[at].view(np.uint64)), begins) if len(begins) else np.zeros(0, np.uint64)
-    once = np.unique(named, return_index=True)[1]
+    once = np.unique(named, return_index=True)[1]  # of equal groups the first in the global order, where places are least
     first, m, named = first[once], m[once], named[once].view(np.int64)
     rest = np.repeat(first + 1 - np.cumsum(m - 1) + m - 1, m - 1) + np.arange((m - 1).sum())
     leader = np.repeat(first, m - 1)
-    near = _alike(sizes[leader], sizes[rest], top, bottom)
-    pairs = np.stack([classes[leader[near]], classes[rest[near]]])
+    near = _alike(sizes[leader], places[leader], sizes[rest], places[rest], top, bottom)
+    pairs = np.sort(np.stack([classes[leader[near]], classes[rest[near]]]), axis=0)
     pairs = pairs[:, _distinct(*pairs)]
     more = np.repeat(m > 2, m - 1)
-    return pairs, (np.repeat(named, m - 1)[more], classes[rest[more]], sizes[rest[more]])
+    return pairs, (np.repeat(named, m - 1)[more], *(x[rest[more]] for x in (classes, sizes, places)))
 
 
 def _shared(top: int, bottom: int):
     """Rows sorted by bucket: what the entries of each bucket, and of late shingles, give."""
     names = [x.split()[0] for x in FOUND.split(", ")]
 
-    def rows(kind: int, h, c, n):
-        columns = [np.full(len(h), kind, np.int32), np.asarray(h).view(np.int64), c, np.asarray(n, np.int64)]
+    def rows(kind: int, h, c, n, at):
+        columns = [np.full(len(h), kind, np.int32), np.asarray(h).view(np.int64), c, np.asarray(n, np.int64), np.asarray(at, np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
     def close(held):
         if held:
             pairs, members = groups_of(*(np.concatenate(x) for x in zip(*held)), top, bottom)
-            yield rows(PAIR, pairs[0], pairs[1], np.zeros(pairs.shape[1]))
+            none = np.zeros(pairs.shape[1])
+            yield rows(PAIR, pairs[0], pairs[1], none, none)
             yield rows(MEMBER, *members)
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for bucket, late, *packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                keys, classes, sizes = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint64, np.int64, np.int32)))
+            for bucket, late, *packed in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                keys, classes, sizes, places = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint64, np.int64, np.int32, np.int32)))
                 if late:
-                    yield rows(LOOSE, keys, classes, sizes)
+                    yield rows(LOOSE, keys, classes, sizes, places)
                     continue
                 if bucket != now:
                     yield from close(held)
                     now, held = bucket, []
-                held.append((keys, classes, sizes))
+                held.append((keys, classes, sizes, places))
         yield from close(held)
 
     return run
@@ -373,48 +419,44 @@ def _rooted(docs: DataFrame, k: int, top: int, bottom: int) -> tuple[DataFrame,
         if clash.isEmpty():
             break
         drop_written(slim)
-    common = docs.mapInArrow(_low_counts(k, top, bottom), "token long, n long")
-    common = cut(common.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON))
-    late = most_frequent(common, LATE).select("token").toPandas()["token"].to_numpy(np.int64)
-    late = spark.sparkContext.broadcast(np.sort(late.view(np.uint64)))
-    drop_written(common)
+    late = spark.sparkContext.broadcast(_common(docs, k, top, bottom, seed))
     many = slim.groupBy("c").agg(F.first("n").alias("n")).agg(F.sum(F.col("n") * (bottom - top) / bottom + 1)).first()[0]
     buckets = int((many or 0) // BUCKET) + 1
     found = docs.mapInArrow(
-        _entries(k, top, bottom, seed, late, buckets), "bucket int, late boolean, keys binary, classes binary, sizes binary"
+        _entries(k, top, bottom, seed, late, buckets), "bucket int, late boolean, keys binary, classes binary, sizes binary, places binary"
     )
     found = found.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = written(found.mapInArrow(_shared(top, bottom), FOUND), "found")
     pairs = found.filter(F.col("kind") == PAIR).select(F.col("h").alias("leader"), "c")
-    loose = found.filter(F.col("kind") == LOOSE).select("h", "c", "n").distinct()
-    leaders = loose.groupBy("h").agg(F.min(F.struct("c", "n")).alias("a"), F.max("c").alias("b")).filter("a.c < b")
-    leaders = written(leaders.select("h", F.col("a.c").alias("leader"), F.col("a.n").alias("n2")), "leaders")
-    loose = written(loose.join(leaders, "h").filter("c > leader"), "loose")
-    near = F.least("n", "n2") * bottom >= F.greatest("n", "n2") * top
-    pairs = pairs.union(loose.filter(near).select("leader", "c")).distinct()
+    lead = [F.col("a.c").alias("leader"), F.col("a.n").alias("n2"), F.col("a.at").alias("at2")]
+    loose = found.filter(F.col("kind") == LOOSE).select("h", "c", "n", "at").distinct()
+    leaders = loose.groupBy("h").agg(F.min(F.struct("at", "c", "n")).alias("a"), F.min("c").alias("low"), F.max("c").alias("high"))
+    leaders = written(leaders.filter("low < high").select("h", *lead), "leaders")
+    loose = written(loose.join(leaders, "h").filter("c <> leader"), "loose")
+    near = _alike(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), top, bottom)
+    pair = [F.least("leader", "c").alias("leader"), F.greatest("leader", "c").alias("c")]
+    pairs = pairs.union(loose.filter(near).select(*pair)).distinct()
     labels = _relabelled(None, _linked(docs, slim, pairs, k, seed, late, top, bottom))
-    group = written(found.filter(F.col("kind") == MEMBER).select("h", "c", "n").union(loose.select("h", "c", "n")), "group")
+    group = written(found.filter(F.col("kind") == MEMBER).select("h", "c", "n", "at").union(loose.select("h", "c", "n", "at")), "group")
     drop_written(found, leaders, loose)
     size = LEADERS
     while True:
-        held = group.join(labels, "c", "left").select("h", "c", "n", F.coalesce("root", "c").alias("part"))
+        held = group.join(labels, "c", "left").select("h", "c", "n", "at", F.coalesce("root", "c").alias("part"))
         stats = held.groupBy("h", "part").agg(F.count("*").alias("m")).groupBy("h").agg(
             F.max(F.struct("m", "part"))["part"].alias("most"), F.count("*").alias("parts"), F.sum("m").alias("all")
         )
         held = written(held.join(stats.filter("parts > 1").drop("parts"), "h"), "held")
         salt = F.when(F.col("all") <= size, F.col("c")).otherwise(F.pmod(F.xxhash64("c"), F.lit(size)))
         leaders = held.filter(F.col("part") != F.col("most")).groupBy("h", salt.alias("salt"))
-        leaders = leaders.agg(F.min(F.struct("c", "n", "part")).alias("a"))
-        leaders = written(leaders.select("h", F.col("a.c").alias("leader"), F.col("a.n").alias("n2"), F.col("a.part").alias("part2")), "leaders")
+        leaders = leaders.agg(F.min(F.struct("at", "c", "n", "part")).alias("a"))
+        leaders = written(leaders.select("h", *lead, F.col("a.part").alias("part2")), "leaders")
         drop_written(group)
         if leaders.isEmpty():
             break
-        pairs = held.join(leaders, "h").filter(near & (F.col("part") != F.col("part2"))).select(
-            F.least("leader", "c").alias("leader"), F.greatest("leader", "c").alias("c")
-        ).distinct()
+        pairs = held.join(leaders, "h").filter(near & (F.col("part") != F.col("part2"))).select(*pair).distinct()
         last, labels = labels, _relabelled(labels, _linked(docs, slim, pairs, k, seed, late, top, bottom))
         group = written(
-            held.select("h", "c", "n").join(leaders.select("h", F.col("leader").alias("c")), ["h", "c"], "left_anti"), "group"
+            held.select("h", "c", "n", "at").join(leaders.select("h", F.col("leader").alias("c")), ["h", "c"], "left_anti"), "group"
         )
         drop_written(last, held, leaders)
         size *= LEADERS
