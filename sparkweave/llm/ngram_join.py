@@ -56,6 +56,8 @@ LAST, TOP, LOW = np.uint64(1 << 63), np.uint64(1 << 61), np.uint64(29)
 BUCKET = 1 << 19
 #: Keys up to this number are broadcast to filter a scan; beyond it, a shuffle join does the same.
 BROADCAST_KEYS = 1_000_000
+#: Rows whose entries a task holds at once.
+ROWS = 4096
 #: Classes that a task remembers to have sent; what is sent again is only redundant.
 SEEN = 200_000
 
@@ -70,6 +72,12 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
                 yield batch, w.row + i, np.unique(hashes[first[i] : first[i + 1]])
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _prefix(n: int, top: int, bottom: int) -> int:
     return n + (-top * n) // bottom + 1 if n else 0
 
@@ -105,7 +113,7 @@ def _counted(k: int, top: int, bottom: int, seed: int, late=None):
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _split(batches):
             held = [np.zeros(0, np.uint64)]
             for _, _, own in _sets([batch], k):
                 low = own[: 3 * _prefix(len(own), top, bottom) // 2]
@@ -163,7 +171,7 @@ def _entries(k: int, top: int, bottom: int, seed: int, late, buckets: int):
     def run(batches):
         seen: set[int] = set()
         schema = pa.schema([("bucket", pa.int32()), ("late", pa.bool_()), *((x, pa.binary()) for x in ("keys", "classes", "sizes", "places"))])
-        for batch in batches:
+        for batch in _split(batches):
             keys, found = [np.zeros(0, np.uint64)], []
             for _, _, own in _sets([batch], k):
                 c, _ = _class_of(own, seed)

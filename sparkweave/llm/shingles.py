@@ -20,7 +20,7 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64)
 _SLOT = _RNG.integers(1, 1 << 63, size=64, dtype=np.uint64) | U64(1)
 #: Bytes of text handled at once; one longer document makes a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
