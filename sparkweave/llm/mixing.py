@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,13 +157,17 @@ def shard_path(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[
 
 
 def _drawn(names: list, quotas: np.ndarray, shards: int, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch["id"]:
-                start, count = shard_path(quotas, shards, int(shard), seed)
+            for shard in batch.column("id").to_pylist():
+                start, count = shard_path(quotas, shards, shard, seed)
                 some = np.flatnonzero(count)
-                yield pd.DataFrame(
-                    {"source": [names[i] for i in some], "low": start[some], "high": (start + count)[some] - 1, "shard": int(shard)}
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([names[i] for i in some], pa.string()), pa.array(start[some]),
+                        pa.array((start + count)[some] - 1), pa.array(np.full(len(some), shard, np.int32)),
+                    ],
+                    names=["source", "low", "high", "shard"],
                 )
 
     return run
@@ -182,7 +186,7 @@ def draw(planned: DataFrame, seed: int = 1) -> DataFrame:
     per = per.orderBy(F.col("source").asc_nulls_last()).collect()
     quotas = np.array([r["n"] for r in per], np.int64)
     shards = max(1, round(sum(r["words"] for r in per) / SHARD_WORDS))
-    runs = spark.range(shards).mapInPandas(
+    runs = spark.range(shards).mapInArrow(
         _drawn([r["source"] for r in per], quotas, shards, seed), "source string, low long, high long, shard int"
     )
     dealt = runs.select("source", F.explode(F.sequence("low", "high")).alias("block"), "shard")
@@ -208,10 +212,15 @@ def mix(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per document, whether taken or not."""
+    """doc_id, size, source_size, target, taken, and the shard and place of each copy: one row per document, whether taken or not.
+
+    places holds (shard, place, words) of the document's copies, by shard and place, as the splitting tree dealt them.
+    """
     planned = cut(plan(docs, seed=seed))
-    taken = draw(planned, seed).groupBy(*UNIT).agg(F.sum("words").alias("taken"))
+    taken = draw(planned, seed).groupBy(*UNIT).agg(
+        F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "place", "words"))).alias("places")
+    )
     all_ = planned.alias("a").join(taken.alias("b"), _same(*UNIT), "left").select(
-        "a.doc_id", "a.size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "rows"
+        "a.doc_id", "a.size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "places", "rows"
     )
     return all_.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("_i", "rows")

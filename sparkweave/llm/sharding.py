@@ -1,9 +1,10 @@
 """Sharding by size-tiered compaction over a versioned manifest.
 
 A store is a folder: `data/` holds immutable Parquet shards, `manifests/` a table of shards per
-version, and `versions/` one small file per version that names its manifest. Creating that file,
-which fails where it exists, is the commit: readers see the old version or the new one, and of two
-writers one loses and can try again. Nothing is ever changed in place.
+version, and `versions/` one small file per version that names its manifest. That file is written
+under another name and renamed, which fails where the version exists; the rename is the commit:
+readers see the old version or the new one, and of two writers one loses and can try again. Nothing
+is ever changed in place.
 
 append() writes an arrival as it is partitioned, without a shuffle, as small shards. compact()
 groups shards of similar size in tiers (powers of `fanout`), packs each tier that holds `fanout`
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .recovery import cut, shared_dir
 
 TARGET_BYTES, FANOUT = 64 << 20, 4
+#: Up to this many paths of shards go to every executor; more are joined by a shuffle.
+BROADCAST_PATHS = 100_000
 SHARD = "path string, bytes long, tier int, added long"
 
 
@@ -68,15 +71,22 @@ class Store:
     def _commit(self, shards: DataFrame, base: int) -> int:
         name = uuid.uuid4().hex
         shards.write.parquet(f"{self.root}/manifests/{name}")
-        path = self._path(f"versions/{base + 1:08d}")
+        path, draft = self._path(f"versions/{base + 1:08d}"), self._path(f"drafts/{name}")
+        self._fs.mkdirs(self._path("versions"))
+        out = self._fs.create(draft, False)
+        out.write(bytearray(name.encode()))
+        out.close()
+        sc = self.spark.sparkContext
+        jvm = sc._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        options = sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = self._fs.create(path, False)
+            context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(path), options)
         except Exception as e:
+            self._fs.delete(draft, False)
             if self._fs.exists(path):
                 raise Conflict(f"version {base + 1} exists") from e
             raise
-        out.write(bytearray(name.encode()))
-        out.close()
         return base + 1
 
     def _written(self, folder: str, version: int) -> DataFrame:
@@ -122,9 +132,12 @@ class Store:
             folder = f"c{base + 1:08d}-{uuid.uuid4().hex[:6]}"
             rows = self.spark.read.parquet(*[f"{self.root}/data/{p}" for p in old])
             packed = rows.select(F.struct("*").alias("row"), F.regexp_extract("_metadata.file_path", r"/data/(.*)$", 1).alias("path"))
-            dealt = packed.join(F.broadcast(bins.select("path", "bin")), "path")
-            dealt = dealt.repartition("bin").select("row.*", F.col("bin").alias("_bin"))
-            dealt.write.option("compression", "zstd").partitionBy("_bin").parquet(f"{self.root}/data/{folder}")
+            numbers = bins.select("bin").distinct().withColumn("number", F.row_number().over(W.orderBy("bin")) - 1)
+            numbers = cut(bins.join(numbers, "bin").select("path", "number"))
+            dealt = packed.join(F.broadcast(numbers) if len(old) <= BROADCAST_PATHS else numbers, "path")
+            n = numbers.agg(F.max("number")).first()[0] + 1
+            dealt = dealt.repartitionById(n, F.col("number").cast("int")).select("row.*")
+            dealt.write.option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
             kept = shards.join(bins, "path", "left_anti")
             self._commit(kept.union(self._written(folder, base + 1)), base)
 
@@ -138,9 +151,8 @@ class Store:
             raise ValueError(f"clashing columns: {sorted(clash)}")
         added = F.regexp_extract("_metadata.file_path", r"/data/(.*)$", 1)
         known = self.spark.createDataFrame(paths, "shard string, shard_version long")
-        return df.select("*", added.alias("shard")).join(F.broadcast(known), "shard").select(
-            *df.columns, "shard", "shard_version"
-        )
+        known = F.broadcast(known) if len(paths) <= BROADCAST_PATHS else known
+        return df.select("*", added.alias("shard")).join(known, "shard").select(*df.columns, "shard", "shard_version")
 
     def vacuum(self, keep_versions: int = 1) -> None:
         """Drop all but the latest versions, with their manifests, and data files that no version left names.
@@ -156,6 +168,7 @@ class Store:
             self._fs.delete(entry, False)
             self._fs.delete(self._path(f"manifests/{name}"), True)
         named = {r["path"] for v in versions[-keep_versions:] for r in self.manifest(v).select("path").collect()}
+        self._fs.delete(self._path("drafts"), True)
         for folder in self._list("data"):
             for r in self._written(folder, 0).select("path").collect():
                 if r["path"] not in named:

@@ -82,3 +82,22 @@ def test_splitting_tree_is_a_partition():
             assert seen == list(range(quotas[s]))
         sizes = [int(c.sum()) for _, c in runs]
         assert max(sizes) - min(sizes) <= 1 + shards.bit_length()
+
+
+def test_places_are_those_of_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(mixing, "BUCKET_UNITS", 16)
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}", "w " * (i % 50 + 1)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    planned = mixing.plan(df)
+    got = mixing.draw(planned).select("source", "epoch", "bucket", "shard").distinct().collect()
+    assert len({(r["source"], r["epoch"], r["bucket"]) for r in got}) == len(got)  # a block lies in one shard
+    names = sorted({r["source"] for r in got})
+    quotas = np.array([sum(r["source"] == n for r in got) for n in names])
+    shards = max(r["shard"] for r in got) + 1
+    assert shards > 8
+    for shard in range(shards):
+        _, count = mixing.shard_path(quotas, shards, shard, 1)
+        assert [sum(r["source"] == n and r["shard"] == shard for r in got) for n in names] == count.tolist()
+    places = [(p["shard"], p["place"]) for r in mixing.digest(df).collect() for p in r["places"] or ()]
+    assert len(places) == len(set(places)) and {s for s, _ in places} == set(range(shards))

@@ -18,7 +18,7 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
         "quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "sharding"
     ]
     texts = [{r["doc_id"]: r["text"] for r in rows} for rows in steps]
-    components = test_ngram_join.brute(texts[0])
+    components = test_ngram_join.brute(texts[0], 5, 80)
     assert set(texts[1]) == {i for i, (_, c) in components.items() if i == c}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     assert set(texts[2]) == set(texts[1]) - {d for d, _ in test_containment.brute(texts[1], items)}

@@ -68,3 +68,10 @@ def test_versions_before_a_compaction_can_be_read_until_vacuum(spark, tmp_path):
     assert len(list((tmp_path / "store/manifests").iterdir())) == len(list((tmp_path / "store/versions").glob("0*"))) == 2
     s.vacuum()
     assert count(5) == 4 and len(list((tmp_path / "store/data").rglob("*.parquet"))) == 1
+
+
+def test_ties_and_very_long_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x" * 3_000_000), (1, "x" * 3_000_000), (1, "y"), (None, None)], "doc_id long, text string")
+    s = sharding.shard(docs, store=store(spark, tmp_path))
+    assert rows(s.read().drop("shard", "shard_version")) == rows(docs)
+    assert not list((tmp_path / "store/drafts").glob("[!.]*"))
