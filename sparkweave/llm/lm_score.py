@@ -6,83 +6,38 @@ its tokens of loss under the target model minus loss under the background model:
 target.
 
 Both models hold every word and every bigram of the corpus with its two counts, however many there
-are. Words are counted first (a task counts its slice of rows before anything is shuffled) and kept
-as a written table. Frequent words, and bigrams of them that are frequent in a sample, go to every
-task with their exact counts over all documents, and their losses are summed per document on the
-spot; the two parameters bound how many go, which changes speed, never results. Each other bigram
-makes a row per document that holds it. These rows are dealt by bigram, which brings their count
-together with the documents that need it, and by rare word to meet its count. As what is dealt out
-is not frequent, no key is hot.
-
-Rows of documents are known by a 64-bit hash of doc_id and text, so that a second reading of the
-input in another order changes nothing; equal rows share one sum.
+are; nothing of them is gathered on the driver or in a task. Documents are dealt to shards by a hash
+of their id and text. A shard asks for its distinct words and bigrams, once each, with its own
+counts: sorted keys, packed by key range. The task that holds a range of keys adds up what the
+shards have and tells each shard what the others have, in the order in which it asked, which a shard
+finds again as it depends on its documents alone. The shard then scores its documents. A frequent
+word is one entry a shard, so no key is hot; the texts are exchanged once and read twice.
 
 Edge cases: a document without words, null or empty, has n_tokens 0 and null losses; documents
 without labels are background only; repeated labels count as target if any is 1; repeated rows
 count each time; if nothing is labelled target, both models are the background's and scores are 0;
-extra columns are ignored; an empty table gives an empty result.
+extra columns are ignored, whatever they are called; an empty table gives an empty result. A very
+long text is part of one shard, whole; rows that agree in id and text share a shard.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frequent import most_frequent
-from .recovery import cut, written
 from .shingles import Words, windows, words
+from .text import SPACE
 
-#: So many frequent words and bigrams at most go to every task; the others are joined in.
-COMMON_WORDS, COMMON_BIGRAMS = 1 << 18, 1 << 18
-#: Tokens, about, of the sample that proposes the frequent bigrams.
-SAMPLE = 1 << 23
 #: Weight of the bigram estimate, and add-constant of the unigrams.
 BIGRAM_WEIGHT, ADD = 0.7, 0.5
+#: Tokens of a shard and of a range of keys, about.
+PART = 1 << 21
 #: Up to this number, the ids of target documents go to every executor; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-
-
-@dataclass
-class Models:
-    """Frequent words (sorted hashes) and bigrams of them (sorted codes) with counts; column 0 target, 1 background.
-
-    total has the counts of all tokens, size the number of different words and one for words never seen.
-    """
-
-    vocabulary: np.ndarray
-    single: np.ndarray
-    codes: np.ndarray
-    pairs: np.ndarray
-    total: np.ndarray
-    size: int
-
-    def alone(self, n: np.ndarray) -> np.ndarray:
-        """Unigram probability of words with counts n."""
-        return (n + ADD) / (self.total + ADD * self.size)
-
-    def loss(self, n: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Loss in nats of bigrams with counts n, whose words have the counts first and second."""
-        return -np.log(BIGRAM_WEIGHT * n / np.maximum(first, 1) + (1 - BIGRAM_WEIGHT) * self.alone(second))
-
-    def places(self, codes: np.ndarray) -> np.ndarray:
-        """Places in codes, -1 for others."""
-        if not len(self.codes):
-            return np.full(len(codes), -1)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, at, -1)
-
-
-def _tokens(w: Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Places in the vocabulary; its length stands for all other words."""
-    if not len(vocabulary):
-        return np.zeros(len(w.hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, w.hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == w.hashes, at, len(vocabulary))
+#: Distinct words that a task holds before it hands them on.
+HELD = 1 << 20
 
 
 def _followed(w: Words) -> np.ndarray:
@@ -92,231 +47,161 @@ def _followed(w: Words) -> np.ndarray:
     return np.flatnonzero(inside)
 
 
-def _bigrams(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens; positions, codes of the bigrams, and whether both words are in the vocabulary."""
-    tokens, at = _tokens(w, vocabulary), _followed(w)
-    known = tokens < len(vocabulary)
-    return tokens, at, tokens[at] * (len(vocabulary) + 1) + tokens[at + 1], known[at] & known[at + 1]
-
-
 def _owners(w: Words) -> np.ndarray:
     return np.repeat(np.arange(len(w)), np.diff(w.first))
 
 
-def _flags(batch, name: str) -> np.ndarray:
-    return batch.column(name).to_numpy(zero_copy_only=False).astype(bool)
-
-
-def _counted(vocabulary):
-    """(key, n, n_target) of the words, or of the bigrams of the vocabulary, of each slice of rows."""
+def _flags(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
 
-    def run(batches):
-        for batch in batches:
-            target = _flags(batch, "target")
-            for w in words(batch.column("text")):
-                keys, mine = w.hashes.view(np.int64), target[w.row + _owners(w)]
-                if vocabulary is not None:
-                    _, at, codes, known = _bigrams(w, vocabulary.value)
-                    keys, mine = codes[known], mine[at[known]]
-                found, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-                n_target = np.bincount(which, weights=mine, minlength=len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n), pa.array(n_target)], names=["key", "n", "n_target"])
 
-    return run
-
-
-def _tallied(vocabulary, codes):
-    """(key, n, n_target) of the task's bigrams that are in codes."""
-
-    def run(batches):
-        m = Models(vocabulary.value, None, codes.value, None, None, 0)
-        counts = np.zeros((len(m.codes), 2), np.int64)
-        for batch in batches:
-            target = _flags(batch, "target")
-            for w in words(batch.column("text")):
-                _, at, found, _ = _bigrams(w, m.vocabulary)
-                place = m.places(found)
-                mine = target[w.row + _owners(w)[at]]
-                counts[:, 1] += np.bincount(place[place >= 0], minlength=len(counts))
-                counts[:, 0] += np.bincount(place[(place >= 0) & mine], minlength=len(counts))
-        some = np.flatnonzero(counts[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(m.codes[some]), pa.array(counts[some, 1]), pa.array(counts[some, 0])], names=["key", "n", "n_target"])
-
-    return run
-
-
-COUNTS = "key long, n long, n_target long"
+def _tally(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of each key among them, and their (target, all) counts."""
+    found, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return found, which, np.bincount(which, weights=target, minlength=len(found)).astype(np.int64), n
 
 
-def _summed(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+def _vocabulary(batches):
+    """(key, n, n_target) of the words of a task, a part of its rows at a time."""
 
+    def rows(held):
+        keys, mine = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, bool))
+        found, _, n_target, n = _tally(keys, mine)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), pa.array(n_target)], names=["key", "n", "n_target"])
 
-def _arrays(counts: DataFrame, kind) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (sorted) and their (target, background) counts, on the driver."""
-    top = counts.toPandas()
-    keys = top["key"].to_numpy(np.int64).view(kind)
-    order = np.argsort(keys)
-    return keys[order], top[["n_target", "n"]].to_numpy(np.int64)[order]
+    held, size = [], 0
+    for batch in batches:
+        target = _flags(batch.column("target"))
+        for w in words(batch.column("text")):
+            held.append((w.hashes, target[w.row + _owners(w)]))
+            size += len(w.hashes)
+            if size > HELD:
+                yield rows(held)
+                held, size = [], 0
+    yield rows(held)
 
 
-def fit(docs: DataFrame, counts: DataFrame, vocabulary: int, bigrams: int) -> Models:
-    """What goes to the tasks, from docs (text, target) and the counts of all their words."""
-    sc = docs.sparkSession.sparkContext
-    n, n_target, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count("*")).first()
-    known, single = _arrays(most_frequent(counts, vocabulary), np.uint64)
-    held = sc.broadcast(known)
-    some = docs.sample(fraction=SAMPLE / n, seed=1) if n > SAMPLE else docs
-    likely = cut(_summed(some.mapInArrow(_counted(held), COUNTS)).filter("n > 1"))
-    codes, _ = _arrays(most_frequent(likely, bigrams), np.int64)
-    codes, pairs = _arrays(_summed(docs.mapInArrow(_tallied(held, sc.broadcast(codes)), COUNTS)), np.int64)
-    return Models(known, single, codes, pairs, np.array([n_target, n]), size + 1)
+class Shard:
+    """The words and bigrams of a shard's rows: distinct keys of each kind, and the tokens as places among them."""
 
+    def __init__(self, table: pa.Table):
+        text, target = table.column("text").combine_chunks(), _flags(table.column("target").combine_chunks())
+        singles, pairs, owners, ahead, self.counts = [], [], [], [], np.zeros(len(text), np.int64)
+        at = 0
+        for w in words(text):
+            follow = _followed(w)
+            singles.append(w.hashes)
+            pairs.append(windows(w.hashes, 2)[follow])
+            owners.append(w.row + _owners(w))
+            ahead.append(at + follow)
+            at += len(w.hashes)
+            self.counts[w.row : w.row + len(w)] = np.diff(w.first)
+        join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+        self.owner, self.ahead = join(owners, np.int64), join(ahead, np.int64)
+        mine = target[self.owner]
+        self.words = _tally(join(singles, np.uint64), mine)
+        self.bigrams = _tally(join(pairs, np.uint64), mine[self.ahead])
 
-def _near(models):
-    """A row per document, with the losses of its first token and its bigrams that are in the task's models."""
+    def kinds(self):
+        return (0, self.words), (1, self.bigrams)
 
-    def run(batches):
-        m: Models = models.value
-        for batch in batches:
-            ids, rows = batch.column("doc_id"), batch.column("row")
-            for w in words(batch.column("text")):
-                tokens, at, codes, _ = _bigrams(w, m.vocabulary)
-                owners, counts, place = _owners(w), np.diff(w.first), m.places(codes)
-                hit = place >= 0
-                begin = w.first[:-1][counts > 0]
-                begin = begin[tokens[begin] < len(m.vocabulary)]
-                loss = m.loss(m.pairs[place[hit]], m.single[tokens[at[hit]]], m.single[tokens[at[hit] + 1]])
-                alone = -np.log(m.alone(m.single[tokens[begin]]))
-                loss, whose = np.concatenate([alone, loss]), np.concatenate([owners[begin], owners[at[hit]]])
-                sums = [pa.array(np.bincount(whose, weights=loss[:, i], minlength=len(w)).astype(float)) for i in (0, 1)]
-                own = [x.slice(w.row, len(w)) for x in (rows, ids)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(counts.astype(np.int64)), *sums], names=["row", "doc_id", "n_tokens", "lt", "lb"])
-
-    return run
 
+def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each range of keys begins among keys (sorted), and their end."""
+    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Bytes of sorted keys, those of one place together: the first places compress."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of every different (key, owner), and their numbers; owner is in order."""
-    order = np.argsort(key, kind="stable")
-    start = _runs(key[order], owner[order])
-    return order[start], np.diff(np.append(start, len(order)))
 
+def _keys(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-def _others(models):
-    """(code, row, n, target) of each document's other bigrams of frequent words."""
 
-    def run(batches):
-        m: Models = models.value
-        for batch in batches:
-            target, rows = _flags(batch, "target"), batch.column("row").to_numpy()
-            for w in words(batch.column("text")):
-                _, at, codes, known = _bigrams(w, m.vocabulary)
-                left = known & (m.places(codes) < 0)
-                codes, owner = codes[left], w.row + _owners(w)[at[left]]
-                one, n = _grouped(codes, owner)
-                found = [codes[one], rows[owner[one]], n.astype(np.int32), target[owner[one]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["code", "row", "n", "target"])
-
-    return run
+ASKED = "shard int, kind int, bucket int, keys binary, n binary, n_target binary"
+TOLD = "shard int, kind int, bucket int, n binary, n_target binary"
 
 
-def _met(models):
-    """(row, lt, lb) from rows (code, row, n, target) sorted by code: a code's count is the sum over its rows."""
-
-    def done(m: Models, code, row, n, target):
-        start = _runs(code)
-        sizes = np.diff(np.append(start, len(code)))
-        pairs = np.stack([np.add.reduceat(n * target, start), np.add.reduceat(n, start)], axis=1)
-        a, b = np.divmod(code[start], len(m.vocabulary) + 1)
-        loss = np.repeat(m.loss(pairs, m.single[a], m.single[b]), sizes, axis=0) * n[:, None]
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(loss[:, 0]), pa.array(loss[:, 1])], names=["row", "lt", "lb"])
-
-    def run(batches):
-        m: Models = models.value
-        held: list = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if held and held[-1][0][-1] == new[0][-1]:
-                held.append(new)
-                continue
-            held.append(new)
-            every = [np.concatenate(x) for x in zip(*held)]
-            last = int(np.searchsorted(every[0], every[0][-1]))
-            held = [[x[last:] for x in every]]
-            if last:
-                yield done(m, *[x[:last] for x in every])
-        if held:
-            yield done(m, *[np.concatenate(x) for x in zip(*held)])
+def _ask(buckets: int):
+    def run(key, table):
+        out = [[], [], [], [], [], []]
+        for kind, (keys, _, n_target, n) in Shard(table).kinds():
+            cuts = _ranges(keys, buckets)
+            for i in np.flatnonzero(np.diff(cuts)):
+                a, b = cuts[i], cuts[i + 1]
+                row = (key[0].as_py(), kind, int(i), _planes(keys[a:b]), n[a:b].astype(np.int32).tobytes(), n_target[a:b].astype(np.int32).tobytes())
+                for column, x in zip(out, row):
+                    column.append(x)
+        schema = pa.schema([(x, pa.int32()) for x in ("shard", "kind", "bucket")] + [(x, pa.binary()) for x in ("keys", "n", "n_target")])
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
 
     return run
 
 
-RARE = "row long, a long, b long, n long, target boolean, begins boolean, rare_a boolean, rare_b boolean, at long, bt long, ab long, bb long"
-
-
-def _rare(models):
-    """Each document's bigrams, and first tokens, that have a rare word, with the counts of words that are known here."""
-    names = [x.split()[0] for x in RARE.split(", ")]
-
-    def run(batches):
-        m: Models = models.value
-        single = np.concatenate([m.single, np.zeros((1, 2), np.int64)])
-        for batch in batches:
-            target, rows = _flags(batch, "target"), batch.column("row").to_numpy()
-            for w in words(batch.column("text")):
-                tokens, at, _, known = _bigrams(w, m.vocabulary)
-                counts, owners, unknown = np.diff(w.first), _owners(w), len(m.vocabulary)
-                at = at[~known]
-                pair = windows(w.hashes, 2)
-                one, n = _grouped(pair[at], owners[at])
-                begin = w.first[:-1][counts > 0]
-                begin = begin[tokens[begin] == unknown]
-                a, b = np.append(at[one], begin), np.append(at[one] + 1, begin)
-                begins = np.arange(len(a)) >= len(one)
-                owner, hashes = w.row + owners[b], w.hashes.view(np.int64)
-                found = [
-                    rows[owner], hashes[a], hashes[b], np.append(n, np.ones(len(begin), np.int64)), target[owner], begins,
-                    (tokens[a] == unknown) & ~begins, tokens[b] == unknown, single[tokens[a], 0], single[tokens[b], 0],
-                    single[tokens[a], 1], single[tokens[b], 1],
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+def _tell(batches):
+    """What the other shards have of each shard's keys, from rows sorted by kind and bucket."""
+    schema = pa.schema([(x, pa.int32()) for x in ("shard", "kind", "bucket")] + [(x, pa.binary()) for x in ("n", "n_target")])
+    now, held = None, []
+
+    def close():
+        keys = np.concatenate([x[1] for x in held])
+        which = np.unique(keys, return_inverse=True)[1]
+        out, cuts = [[], [], [], [], []], np.cumsum([len(x[1]) for x in held])[:-1]
+        rest = []
+        for i in (2, 3):
+            own = np.concatenate([x[i] for x in held]).astype(np.int64)
+            total = np.bincount(which, weights=own).astype(np.int64)  # exact below 2^53
+            rest.append(np.split(total[which] - own, cuts))
+        for (shard, *_), n, n_target in zip(held, *rest):
+            for column, x in zip(out, (shard, *now, n.tobytes(), n_target.tobytes())):
+                column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
+
+    for batch in batches:
+        for shard, kind, bucket, keys, n, n_target in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if (kind, bucket) != now:
+                if held:
+                    yield close()
+                now, held = (kind, bucket), []
+            held.append((shard, _keys(keys), np.frombuffer(n, np.int32), np.frombuffer(n_target, np.int32)))
+    if held:
+        yield close()
+
+
+def _answer(buckets: int, total: np.ndarray, size: int):
+    """The rows of a shard with their losses; total has the counts of all tokens, size is that of the vocabulary."""
+
+    def alone(n: np.ndarray) -> np.ndarray:
+        return (n + ADD) / (total + ADD * size)
+
+    def run(key, table, told):
+        shard, counts = Shard(table), []
+        rows = list(zip(*(told.column(x).to_pylist() for x in ("kind", "bucket", "n", "n_target"))))
+        for kind, (keys, which, n_target, n) in shard.kinds():
+            every, cuts = np.stack([n_target, n], axis=1).astype(np.int64), _ranges(keys, buckets)
+            for of, bucket, more, more_target in rows:
+                if of == kind:
+                    here = every[cuts[bucket] : cuts[bucket + 1]]
+                    here += np.stack([np.frombuffer(x, np.int64) for x in (more_target, more)], axis=1)
+            counts.append(every[which])
+        single, pairs = counts
+        ahead, begins = shard.ahead, np.ones(len(single), bool)
+        begins[ahead + 1] = False
+        loss = np.empty(single.shape)
+        loss[begins] = -np.log(alone(single[begins]))
+        both = BIGRAM_WEIGHT * pairs / np.maximum(single[ahead], 1) + (1 - BIGRAM_WEIGHT) * alone(single[ahead + 1])
+        loss[ahead + 1] = -np.log(both)
+        means = [np.bincount(shard.owner, weights=loss[:, i], minlength=len(shard.counts)) / np.maximum(shard.counts, 1) for i in (0, 1)]
+        ids = table.column("doc_id").combine_chunks()
+        names = ["doc_id", "n_tokens", "target_loss", "background_loss"]
+        return pa.Table.from_arrays([ids, pa.array(shard.counts), *map(pa.array, means)], names=names)
 
     return run
 
 
-def _rare_losses(rows: DataFrame, counts: DataFrame, m: Models) -> DataFrame:
-    """(row, lt, lb) of rows as from _rare. Rows whose word is not rare are dealt by a hash and meet no count."""
-    spread = F.xxhash64("a", "b", "begins")
-    first = counts.select(F.col("key").alias("ka"), F.col("n_target").alias("at2"), F.col("n").alias("ab2"))
-    second = counts.select(F.col("key").alias("kb"), F.col("n_target").alias("bt2"), F.col("n").alias("bb2"))
-    rows = rows.withColumns({"x": F.when(F.col("rare_a"), F.col("a")).otherwise(spread), "y": F.when(F.col("rare_b"), F.col("b")).otherwise(spread)})
-    rows = rows.join(first, (F.col("x") == F.col("ka")) & F.col("rare_a"), "left")
-    w = W.partitionBy("x", "a", "b", "begins")
-    rows = rows.withColumns({"pb": F.sum("n").over(w), "pt": F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).over(w)})
-    rows = rows.join(second, (F.col("y") == F.col("kb")) & F.col("rare_b"), "left")
-
-    def loss(t: str, total: int) -> Column:
-        a = F.when(F.col("rare_a"), F.col(f"a{t}2")).otherwise(F.col(f"a{t}"))
-        b = F.when(F.col("rare_b"), F.col(f"b{t}2")).otherwise(F.col(f"b{t}"))
-        alone = (b + ADD) / F.lit(float(total + ADD * m.size))
-        both = BIGRAM_WEIGHT * F.col(f"p{t}") / F.greatest(a, F.lit(1)) + (1 - BIGRAM_WEIGHT) * alone
-        return -F.col("n") * F.log(F.when(F.col("begins"), alone).otherwise(both))
-
-    return rows.select("row", loss("t", int(m.total[0])).alias("lt"), loss("b", int(m.total[1])).alias("lb"))
-
-
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text) with `target`: whether a label of quality 1 is theirs."""
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long")).dropna().distinct()
@@ -328,29 +213,26 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def score(docs: DataFrame, labels: DataFrame, vocabulary: int = COMMON_WORDS, bigrams: int = COMMON_BIGRAMS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, part: int = PART) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score), one row per document.
 
-    vocabulary and bigrams bound what goes to every task, not what the models hold.
+    part bounds what a task holds, not what the models hold.
     """
-    docs = labelled(docs, labels).withColumn("row", F.xxhash64("doc_id", "text"))
-    counts = written(_summed(docs.mapInArrow(_counted(None), COUNTS)), "counts")
-    if counts.filter("n_target > 0").isEmpty():
-        docs, counts = docs.withColumn("target", F.lit(True)), counts.withColumn("n_target", F.col("n"))
-    models = fit(docs, counts, vocabulary, bigrams)
-    held = docs.sparkSession.sparkContext.broadcast(models)
-    sums = "row long, lt double, lb double"
-    near = docs.mapInArrow(_near(held), "row long, doc_id long, n_tokens long, lt double, lb double")
-    others = docs.mapInArrow(_others(held), "code long, row long, n int, target boolean")
-    others = others.repartition("code").sortWithinPartitions("code").mapInArrow(_met(held), sums)
-    rare = _rare_losses(docs.mapInArrow(_rare(held), RARE), counts, models)
-    every = near.withColumn("copies", F.lit(1)).unionByName(others.union(rare), allowMissingColumns=True)
-    out = every.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("copies").alias("copies"),
-        F.sum("lt").alias("lt"), F.sum("lb").alias("lb"),
+    docs = labelled(docs, labels)
+    counts = docs.mapInArrow(_vocabulary, "key long, n long, n_target long").groupBy("key")
+    counts = counts.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    size, n, n_target = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    if not n_target:
+        docs, n_target = docs.withColumn("target", F.lit(True)), n
+    parts = n // part + 1
+    said = F.coalesce(F.col("text").rlike(f"[^{SPACE}]"), F.lit(False))
+    dealt = docs.filter(said).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    asked = dealt.groupBy("shard").applyInArrow(_ask(parts), ASKED)
+    told = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_tell, TOLD)
+    answer = _answer(parts, np.array([n_target, n]), size + 1)
+    out = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(
+        answer, "doc_id long, n_tokens long, target_loss double, background_loss double"
     )
-    mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / (F.col("copies") * F.col("n_tokens")))
-    out = out.withColumns({"target_loss": mean("lt"), "background_loss": mean("lb")})
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    out = out.select("doc_id", "n_tokens", "target_loss", "background_loss")
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    none = F.lit(None).cast("double")
+    silent = docs.filter(~said).select("doc_id", F.lit(0).cast("long").alias("n_tokens"), none.alias("target_loss"), none.alias("background_loss"))
+    return out.union(silent).withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -57,9 +57,9 @@ BUCKET = 1 << 19
 #: Keys up to this number are broadcast to filter a scan; beyond it, a shuffle join does the same.
 BROADCAST_KEYS = 1_000_000
 #: Rows whose entries a task holds at once.
-ROWS = 4096
+ROWS = 2048
 #: Classes that a task remembers to have sent; what is sent again is only redundant.
-SEEN = 200_000
+SEEN = 50_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):

@@ -29,15 +29,8 @@ def brute(docs, good):
     return out
 
 
-def test_against_counters(spark, sf):
-    docs = queries.table(spark, sf, "documents").filter("n_chars < 4000")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10**6, None), (10**6 + 1, " ")]
-    labels = queries.table(spark, sf, "labels")
-    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
-    want = brute(rows, good)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = lm_score.score(df, labels, 1 << 20, 1 << 22).collect()
-    assert len(got) == len(rows)
+def check(got, want):
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
     for r in got:
         n, target, background = want[r["doc_id"]]
         assert r["n_tokens"] == n
@@ -47,10 +40,16 @@ def test_against_counters(spark, sf):
             assert r["target_loss"] is None and r["score"] is None
 
 
-def test_bounded_models_and_edges(spark):
-    docs = spark.createDataFrame([(1, "a b a b c"), (2, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
+def test_query_against_counters(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in queries.table(spark, sf, "documents").collect()]
+    labels = queries.table(spark, sf, "labels")
+    check(queries.op5_lm_score(spark, sf).collect(), brute(rows, {r["doc_id"] for r in labels.filter("quality = 1").collect()}))
+
+
+def test_no_target_and_edges(spark):
+    docs = spark.createDataFrame([(1, "a b a b c", 7), (2, "a b", 7), (2, "a b", 7), (3, None, 7)], "doc_id long, text string, shard int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = lm_score.score(docs, none, 2, 1).collect()
+    got = lm_score.score(docs, none).collect()
     assert len(got) == 4 and all(r["score"] in (0.0, None) for r in got)
     assert lm_score.score(docs.limit(0), none).count() == 0
 
@@ -61,27 +60,28 @@ def test_query_separates_labels(spark, sf):
     assert mean[1] < mean[0]
 
 
-def test_rare_words_and_bigrams_count(spark, sf):
+def test_many_shards(spark, sf):
     docs = queries.table(spark, sf, "documents").filter("n_chars < 4000")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10**6, "neverseen a a neverseen otherwise"), (10**6 + 1, None)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(10**6, "neverseen a a neverseen otherwise"), (10**6 + 1, None), (10**6 + 2, " \n"), (10**6 + 3, "word " * 200_000)]
     labels = queries.table(spark, sf, "labels")
     want = brute(rows, {r["doc_id"] for r in labels.filter("quality = 1").collect()})
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for bounds in ((64, 64), (512, 0), (0, 0)):
-        got = lm_score.score(df, labels, *bounds).collect()
-        assert sorted(r["doc_id"] for r in got) == sorted(want)
-        for r in got:
-            n, target, background = want[r["doc_id"]]
-            assert r["n_tokens"] == n
-            if n:
-                assert isclose(r["target_loss"], target, rel_tol=1e-9) and isclose(r["background_loss"], background, rel_tol=1e-9)
+    check(lm_score.score(df, labels, part=20_000).collect(), want)
 
 
 def test_repeated_rows_and_ids(spark):
     rows = [(1, "a b a"), (1, "a b a"), (1, "c d"), (None, "a b"), (None, "b a"), (2, "")]
-    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    whole, rare = (sorted((tuple(r) for r in lm_score.score(docs, labels, *x).collect()), key=repr) for x in ((9, 99), (0, 0)))
-    assert len(whole) == len(rare) == len(rows)
-    for a, b in zip(whole, rare):
+    whole, many = (sorted((tuple(r) for r in lm_score.score(docs, labels, x).collect()), key=repr) for x in (100, 2))
+    assert len(whole) == len(many) == len(rows) and whole[0][:2] == (1, 2)
+    for a, b in zip(whole, many):
         assert a[:2] == b[:2] and all(x == y or isclose(x, y, abs_tol=1e-9) for x, y in zip(a[2:], b[2:]))
+
+
+def test_texts_are_exchanged_once(spark, sf):
+    df = queries.op5_lm_score(spark, sf)
+    df.write.format("noop").mode("overwrite").save()
+    held = df.collect() and df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in held
