@@ -33,10 +33,10 @@ from .text import SPACE
 #: Weight of the bigram estimate, and add-constant of the unigrams.
 BIGRAM_WEIGHT, ADD = 0.7, 0.5
 #: Tokens of a shard and of a range of keys, about.
-PART = 1 << 21
+PART = 1 << 20
 #: Up to this number, the ids of target documents go to every executor; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Distinct words that a task holds before it hands them on.
+#: Distinct words that a task holds, about, before it hands them on.
 HELD = 1 << 20
 
 
@@ -58,27 +58,32 @@ def _flags(column) -> np.ndarray:
 def _tally(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the place of each key among them, and their (target, all) counts."""
     found, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return found, which, np.bincount(which, weights=target, minlength=len(found)).astype(np.int64), n
+    return found, which.astype(np.int32), np.bincount(which, weights=target, minlength=len(found)).astype(np.int64), n
 
 
 def _vocabulary(batches):
-    """(key, n, n_target) of the words of a task, a part of its rows at a time."""
+    """(key, n, n_target): the distinct words of a task, a bounded number at a time, one of them with the counts of all tokens."""
+    known, fresh, size, n, n_target = np.zeros(0, np.uint64), [], 0, 0, 0
 
-    def rows(held):
-        keys, mine = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, bool))
-        found, _, n_target, n = _tally(keys, mine)
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), pa.array(n_target)], names=["key", "n", "n_target"])
+    def rows():
+        counts = np.zeros((2, len(known)), np.int64)
+        counts[:, :1] = [[n], [n_target]]
+        return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *map(pa.array, counts)], names=["key", "n", "n_target"])
 
-    held, size = [], 0
     for batch in batches:
         target = _flags(batch.column("target"))
         for w in words(batch.column("text")):
-            held.append((w.hashes, target[w.row + _owners(w)]))
-            size += len(w.hashes)
-            if size > HELD:
-                yield rows(held)
-                held, size = [], 0
-    yield rows(held)
+            found = np.unique(w.hashes)
+            fresh.append(found)
+            size, n = size + len(found), n + len(w.hashes)
+            n_target += int(np.diff(w.first)[target[w.row : w.row + len(w)]].sum())
+            if size > HELD // 2:
+                known, fresh, size = np.unique(np.concatenate([known, *fresh])), [], 0
+                if len(known) > HELD:
+                    yield rows()
+                    known, n, n_target = known[:0], 0, 0
+    known = np.unique(np.concatenate([known, *fresh]))
+    yield rows()
 
 
 class Shard:
@@ -92,12 +97,17 @@ class Shard:
             follow = _followed(w)
             singles.append(w.hashes)
             pairs.append(windows(w.hashes, 2)[follow])
-            owners.append(w.row + _owners(w))
-            ahead.append(at + follow)
+            owners.append((w.row + _owners(w)).astype(np.int32))
+            ahead.append((at + follow).astype(np.int32))
             at += len(w.hashes)
             self.counts[w.row : w.row + len(w)] = np.diff(w.first)
-        join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
-        self.owner, self.ahead = join(owners, np.int64), join(ahead, np.int64)
+
+        def join(parts, kind):
+            whole = np.concatenate([np.zeros(0, kind), *parts])
+            parts.clear()
+            return whole
+
+        self.owner, self.ahead = join(owners, np.int32), join(ahead, np.int32)
         mine = target[self.owner]
         self.words = _tally(join(singles, np.uint64), mine)
         self.bigrams = _tally(join(pairs, np.uint64), mine[self.ahead])
@@ -117,6 +127,15 @@ def _planes(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as 64-bit numbers, most of them small, compressed."""
+    return pa.compress(counts.astype(np.int64).tobytes(), "zstd", asbytes=True)
+
+
+def _counts(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 8 * n, "zstd", asbytes=True), np.int64)
+
+
 def _keys(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
@@ -132,7 +151,7 @@ def _ask(buckets: int):
             cuts = _ranges(keys, buckets)
             for i in np.flatnonzero(np.diff(cuts)):
                 a, b = cuts[i], cuts[i + 1]
-                row = (key[0].as_py(), kind, int(i), _planes(keys[a:b]), n[a:b].astype(np.int32).tobytes(), n_target[a:b].astype(np.int32).tobytes())
+                row = (key[0].as_py(), kind, int(i), _planes(keys[a:b]), _packed(n[a:b]), _packed(n_target[a:b]))
                 for column, x in zip(out, row):
                     column.append(x)
         schema = pa.schema([(x, pa.int32()) for x in ("shard", "kind", "bucket")] + [(x, pa.binary()) for x in ("keys", "n", "n_target")])
@@ -152,11 +171,11 @@ def _tell(batches):
         out, cuts = [[], [], [], [], []], np.cumsum([len(x[1]) for x in held])[:-1]
         rest = []
         for i in (2, 3):
-            own = np.concatenate([x[i] for x in held]).astype(np.int64)
+            own = np.concatenate([x[i] for x in held])
             total = np.bincount(which, weights=own).astype(np.int64)  # exact below 2^53
             rest.append(np.split(total[which] - own, cuts))
         for (shard, *_), n, n_target in zip(held, *rest):
-            for column, x in zip(out, (shard, *now, n.tobytes(), n_target.tobytes())):
+            for column, x in zip(out, (shard, *now, _packed(n), _packed(n_target))):
                 column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
 
@@ -166,7 +185,7 @@ def _tell(batches):
                 if held:
                     yield close()
                 now, held = (kind, bucket), []
-            held.append((shard, _keys(keys), np.frombuffer(n, np.int32), np.frombuffer(n_target, np.int32)))
+            held.append((shard, _keys(keys), *(_counts(x, len(keys) // 8) for x in (n, n_target))))
     if held:
         yield close()
 
@@ -185,7 +204,7 @@ def _answer(buckets: int, total: np.ndarray, size: int):
             for of, bucket, more, more_target in rows:
                 if of == kind:
                     here = every[cuts[bucket] : cuts[bucket + 1]]
-                    here += np.stack([np.frombuffer(x, np.int64) for x in (more_target, more)], axis=1)
+                    here += np.stack([_counts(x, len(here)) for x in (more_target, more)], axis=1)
             counts.append(every[which])
         single, pairs = counts
         ahead, begins = shard.ahead, np.ones(len(single), bool)
