@@ -26,7 +26,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.dedup(table(spark, sf_dir, "documents"), kept_bytes=False)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

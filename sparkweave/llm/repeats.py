@@ -2,24 +2,29 @@
 
 1. Anchors. Of the 128-byte strings inside a 200-byte string, the one with the least hash is its
    anchor, so equal 200-byte strings have equal anchors. Consecutive starts with one anchor form a
-   run; a run's piece is all bytes of its 200-byte strings. Anchors that occur once can't lie in a
-   repeat. They are ruled out by a bitmap of bounded size of those that occur twice or more.
-2. Equal pieces. A piece whose content occurs twice or more is repeated whole.
-3. Pieces of an anchor whose contents differ (the ends of a repeat) are dealt by anchor. Each task
-   builds the Burrows-Wheeler transforms of shards of its pieces and merges them in a tree. A
-   merge refines the interleave of two transforms, a symbol at a time, up to 200 bytes; blocks
-   of the interleave are the suffixes with that long a common prefix, so a block of two or more
-   is a repeated interval. No suffix of a shard is sorted again. Equal 200-byte strings start
-   equally far from their anchor, so a symbol can be 8 bytes: a piece gives eight strings, one
-   for each distance from the anchor modulo 8. The anchor itself, equal in all of them, is left out
-   but for two symbols, so a merge takes 11 rounds.
-4. The rare anchors with more pieces than a task should hold (GROUP_BYTES) are settled by counting
-   the 128-bit hashes of their 200-byte strings, which Spark can split further. No piece is left out.
-5. The removed ranges go back to their documents, whose remaining bytes are joined and hashed.
+   run; a run's piece is all bytes of its 200-byte strings.
+2. Documents are dealt to shards by a hash of their id and text. A shard asks about its anchors: the
+   hashes of each anchor and of each different piece around it, once, packed by range of anchors. The
+   task that holds a range tells the shards, in the order in which they asked, which pieces occur
+   once though their anchor has others (the ends of a repeat), which occur twice or more and so are
+   repeated whole, and which of these stand for all their copies where an anchor has other pieces.
+3. Those others are dealt by anchor, each content once. Each task builds the Burrows-Wheeler
+   transforms of shards of its pieces and merges them in a tree. A merge refines the interleave of
+   two transforms, a symbol at a time, up to 200 bytes; blocks of the interleave are the suffixes
+   with that long a common prefix, so a block of two or more is a repeated interval. No suffix of a
+   shard is sorted again. Equal 200-byte strings start equally far from their anchor, so a symbol can
+   be 8 bytes: a piece gives eight strings, one for each distance from the anchor modulo 8. The anchor
+   itself, equal in all of them, is left out but for two symbols, so a merge takes 11 rounds.
+4. The rare anchors with more different pieces than a task should merge (PIECES) are settled by
+   counting the 128-bit hashes of their 200-byte strings, which Spark can split further. No piece is
+   left out.
+5. The repeated ranges go back to their shards, which join and hash the remaining bytes. The texts are
+   exchanged once and read three times.
 
 Edge cases: a null text is empty; nothing is removed from texts under 200 bytes; matches never
 cross documents; repeated rows match each other; ties and periodic texts (overlapping matches)
-count as any other; extra columns are ignored; an empty table gives an empty result.
+count as any other; a very long text is part of one shard, whole; extra columns are ignored, whatever
+they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,22 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recovery import cut, drop_written, written
-from .shingles import _BYTE, U64, _power_tables, mix, slices
+from .shingles import _BYTE, U64, _flat, _power_tables, mix, slices
 
 LENGTH, ANCHOR, SYMBOL = 200, 128, 8
 #: Zero bytes that stand for the anchor while its pieces are merged.
 STAND_IN = 2 * SYMBOL
-#: Bits of the bitmap of anchors; what goes to every executor is this many bits at most.
-BITMAP_BITS = 27
-#: Bytes of a shard whose transform is built at once, and of one anchor's pieces that one task merges. Two shards
-#: have under 65,536 symbols, which NumPy sorts by radix.
-SHARD_BYTES, GROUP_BYTES = 1 << 15, 1 << 19
-#: Ids of documents with repeats that are broadcast to split them from the others; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Bytes of text in a shard of documents, about.
+PART = 6 << 20
+#: Bytes of a shard whose transform is built at once. Two shards have under 65,536 symbols, which NumPy sorts by radix.
+SHARD_BYTES = 1 << 15
+#: Different pieces of one anchor that one task merges.
+PIECES = 4096
 _PLACE = (1 << 24) - 1
 #: Longer texts are read in overlapping parts.
-_PART = 1 << 22
+_LONG = 1 << 22
 
 
 def runs(data: np.ndarray, offsets: np.ndarray):
@@ -81,83 +84,158 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     low, high = np.concatenate([[0], fresh]), np.concatenate([fresh - 1, [len(starts) - 1]])
     s, e = starts[low], starts[high]
     content = mix((total[e + LENGTH] - total[s]) * inverses[s]) ^ mix((e - s).astype(U64))
-    return s, e, own[low] - s, grams[own[low]], content, text[low]
+    return s, e, own[low] - s, mix(grams[own[low]]), content, text[low]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(first row, offsets, bytes, position of the bytes in the row's text): slices of rows, long texts in parts."""
-    for row, offsets, data in slices(batch.column("text")):
-        if len(data) <= _PART:
+    for row, offsets, data in slices(column):
+        if len(data) <= _LONG:
             yield row, offsets, data, 0
             continue
         for i in range(len(offsets) - 1):
             text = data[offsets[i] : offsets[i + 1]]
-            for at in range(0, max(len(text) - LENGTH + 1, 1), _PART):
-                piece = text[at : at + _PART + LENGTH - 1]
+            for at in range(0, max(len(text) - LENGTH + 1, 1), _LONG):
+                piece = text[at : at + _LONG + LENGTH - 1]
                 yield row + i, np.array([0, len(piece)]), piece, at
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+class Shard:
+    """The texts of a shard and their runs: start and end in all bytes, row, place of the anchor, anchor, content.
 
+    g and c are the different (anchor, content) in order, which the place of each run's among them, m their counts.
+    """
 
-def _anchor_counts(batches):
-    for batch in batches:
-        for _, offsets, data, _ in _parts(batch):
-            found, n = np.unique(runs(data, offsets)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(found), pa.array(n)], names=["g", "n"])
-
+    def __init__(self, table: pa.Table):
+        column = table.column("text").combine_chunks()
+        offsets, self.data = _flat(column)
+        self.offsets, held = offsets, [[] for _ in range(6)]
+        for row, own, data, at in _parts(column):
+            s, e, place, g, c, text = runs(data, own)
+            text_at = offsets[text + row] - own[text] + at
+            for x, y in zip(held, (s + text_at, e + text_at, text + row, place, g, c)):
+                x.append(y)
+        kinds = (np.int64, np.int64, np.int64, np.int64, U64, U64)
+        self.start, self.end, self.row, self.place, g, c = (np.concatenate([np.zeros(0, k), *x]) for x, k in zip(held, kinds))
+        order = np.lexsort((c, g))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (c[order][1:] != c[order][:-1]) | (g[order][1:] != g[order][:-1])
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(fresh) - 1
+        self.first = order[fresh]
+        self.g, self.c, self.m = g[self.first], c[self.first], np.bincount(self.which)
+
+    def flags(self, told: pa.Table, buckets: int) -> np.ndarray:
+        """What was told of each different (anchor, content)."""
+        out, cuts = np.zeros(len(self.g), np.uint8), _ranges(self.g, buckets)
+        for bucket, flags in zip(told.column("bucket").to_pylist(), told.column("flags").to_pylist()):
+            if flags is not None:
+                here = out[cuts[bucket] : cuts[bucket + 1]]
+                here[:] = np.frombuffer(pa.decompress(flags, len(here), "zstd", asbytes=True), np.uint8)
+        return out
+
+
+def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each range of keys begins among keys (sorted), and their end."""
+    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], U64)
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, schema)], schema=schema)
+
+
+def _signed(x: np.ndarray) -> list[int]:
+    return x.view(np.int64).tolist()
+
+
+ASKED = "shard int, bucket int, g binary, c binary, m binary"
+_ASKED = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("g", pa.binary()), ("c", pa.binary()), ("m", pa.binary())])
+
+
+def _ask(buckets: int):
+    def run(key, table):
+        shard = Shard(table)
+        cuts, rows = _ranges(shard.g, buckets), []
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            some = slice(cuts[i], cuts[i + 1])
+            twice = np.packbits(shard.m[some] > 1).tobytes()
+            rows.append((key[0].as_py(), i, shard.g[some].tobytes(), shard.c[some].tobytes(), twice))
+        return pa.Table.from_batches([_batch(rows, _ASKED)])
 
-def _passing(anchors: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    place = anchors >> U64(64 - BITMAP_BITS)
-    return (bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
+    return run
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bit per value of the first BITMAP_BITS bits of the keys (column g), gathered as 64-bit words."""
-    place = F.shiftrightunsigned("g", 64 - BITMAP_BITS)
-    bits = keys.select(F.shiftrightunsigned(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - BITMAP_BITS}) & 63 as int))").alias("bit"))
-    got = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (BITMAP_BITS - 6), U64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(U64)
+#: Flags: the piece is repeated whole; its content is to be merged; its repeated starts are to be told; its anchor has too many pieces.
+WHOLE, MERGED, OWN, HOT = 1, 2, 4, 8
+TOLD = "shard int, bucket int, flags binary"
+
+
+def verdict(g: np.ndarray, c: np.ndarray, twice: np.ndarray, most: int) -> np.ndarray:
+    """Flags of the rows of whole anchors: each shard's different (anchor, content), and whether the shard has it twice."""
+    order = np.lexsort((c, g))
+    g, c = g[order], c[order]
+    new_g, new = np.ones(len(g), bool), np.ones(len(g), bool)
+    new_g[1:] = g[1:] != g[:-1]
+    new[1:] = new_g[1:] | (c[1:] != c[:-1])
+    content, anchor = np.cumsum(new) - 1, np.cumsum(new_g) - 1
+    whole = np.bincount(content, weights=1 + twice[order])[content] > 1
+    kinds = np.bincount(anchor, weights=new)
+    single = np.bincount(anchor, weights=~whole)
+    mixed = ((kinds > 1) & (single > 0))[anchor]
+    flags = whole * WHOLE + (mixed & new) * MERGED + (mixed & ~whole) * OWN + (mixed & new & (kinds > most)[anchor]) * HOT
+    out = np.empty(len(g), np.uint8)
+    out[order] = flags
     return out
 
 
-def _pieces(held):
+def _tell(most: int):
+    """Rows sorted by bucket."""
+    schema = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("flags", pa.binary())])
+
+    def close(bucket, held):
+        g, c, twice = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+        parts = np.split(verdict(g, c, twice, most), np.cumsum([len(x[1]) for x in held])[:-1])
+        return _batch([(x[0], bucket, pa.compress(y.tobytes(), "zstd", asbytes=True)) for x, y in zip(held, parts)], schema)
+
     def run(batches):
+        now, held = None, []
         for batch in batches:
-            ids, ties = batch.column("doc_id"), batch.column("tie")
-            for row, offsets, data, at in _parts(batch):
-                s, e, _, g, c, text = runs(data, offsets)
-                some = _passing(g, held.value)
-                s, e, g, c, text = (x[some] for x in (s, e, g, c, text))
-                rows, at = pa.array(text + row), at - offsets[text]
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(g), _signed(c), ids.take(rows), ties.take(rows), pa.array(s + at), pa.array(e + at)],
-                    names=["g", "c", "doc_id", "tie", "s", "e"],
-                )
+            for shard, bucket, g, c, m in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if bucket != now:
+                    if held:
+                        yield close(now, held)
+                    now, held = bucket, []
+                g = np.frombuffer(g, U64)
+                held.append((shard, g, np.frombuffer(c, U64), np.unpackbits(np.frombuffer(m, np.uint8), count=len(g))))
+        if held:
+            yield close(now, held)
 
     return run
 
 
-def _some(batches, held, hot, wanted: bool):
-    """(data, start, end, place, anchor, content) of pieces in the bitmap, each content once a slice, hot anchors or the others."""
-    for batch in batches:
-        for _, offsets, data, _ in _parts(batch):
-            s, e, place, g, c, _ = runs(data, offsets)
-            some = np.flatnonzero(_passing(g, held.value))
-            some = some[_passing(g[some], hot.value) == wanted]
-            some = some[np.unique(c[some], return_index=True)[1]]
-            yield data, s[some], e[some], place[some], g[some], c[some]
+CONTENTS = "g long, c long, shard int, hot boolean, place int, bytes binary"
+_CONTENTS = pa.schema(
+    [("g", pa.int64()), ("c", pa.int64()), ("shard", pa.int32()), ("hot", pa.bool_()), ("place", pa.int32()), ("bytes", pa.binary())]
+)
 
 
-def _contents(held, hot):
-    def run(batches):
-        for data, s, e, place, g, c in _some(batches, held, hot, False):
-            texts = [data[a : a + q].tobytes() + data[a + q + ANCHOR : b + LENGTH].tobytes() for a, b, q in zip(s, e, place)]
-            yield pa.RecordBatch.from_arrays(
-                [_signed(g), _signed(c), pa.array(place.astype(np.int32)), pa.array(texts, pa.binary())], names=["g", "c", "place", "bytes"]
-            )
+def _contents(buckets: int):
+    """The pieces to merge, without their anchors; shard is -1 where the repeated starts are known."""
+
+    def run(key, table, told):
+        shard = Shard(table)
+        flags, rows = shard.flags(told, buckets), []
+        some = np.flatnonzero(flags & MERGED)
+        at = shard.first[some]
+        data, of = shard.data, key[0].as_py()
+        for g, c, f, a, b, q in zip(
+            _signed(shard.g[some]), _signed(shard.c[some]), flags[some].tolist(), shard.start[at].tolist(), shard.end[at].tolist(), shard.place[at].tolist()
+        ):
+            content = data[a : a + q].tobytes() + data[a + q + ANCHOR : b + LENGTH].tobytes()
+            rows.append((g, c, of if f & OWN else -1, bool(f & HOT), q, content))
+        return pa.Table.from_batches([_batch(rows, _CONTENTS)])
 
     return run
 
@@ -294,117 +372,112 @@ def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], fresh])], starts[np.concatenate([fresh - 1, [len(starts) - 1]])]
 
 
+FOUND = "shard int, c long, low int, high int"
+_FOUND = pa.schema([("shard", pa.int32()), ("c", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+
+
 def _merged(batches):
-    """Rows sorted by g and c, repeats allowed: repeated runs within each piece, groups taken together up to two shards' bytes."""
-    schema = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    """Rows sorted by g and c: repeated runs within each piece, groups taken together up to two shards' bytes."""
     held, size, last = [], 0, None
 
     def close():
-        out = [[], [], [], []]
         groups = {g: i for i, g in enumerate(dict.fromkeys(x[0] for x in held))}
-        found = repeated([x[2:] for x in held], [groups[x[0]] for x in held]) if held else ()
-        for (g, c, _, _), starts in zip(held, found):
-            for low, high in zip(*spans(starts)):
-                for column, x in zip(out, (g, c, int(low), int(high))):
-                    column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
+        found = repeated([x[3:] for x in held], [groups[x[0]] for x in held]) if held else ()
+        rows = [
+            (shard, c, int(low), int(high))
+            for (_, c, shard, _, _), starts in zip(held, found) if shard >= 0 for low, high in zip(*spans(starts))
+        ]
+        return _batch(rows, _FOUND)
 
     for batch in batches:
-        for g, c, place, content in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "place", "bytes"))):
-            if (g, c) == last:
-                continue
+        for g, c, shard, place, content in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "shard", "place", "bytes"))):
             content = content[:place] + bytes(STAND_IN) + content[place:]
-            if (last is None or g != last[0]) and size + len(content) >= 2 * SHARD_BYTES - 4096:
+            if g != last and size + len(content) >= 2 * SHARD_BYTES - 4096:
                 yield close()
                 held, size = [], 0
-            held.append((g, c, place, content))
-            size, last = size + len(content), (g, c)
+            held.append((g, c, shard, place, content))
+            size, last = size + len(content), g
     yield close()
 
 
-def _windows(held, hot):
-    """(g, c, at, h1, h2): two 64-bit hashes of each 200-byte string of the hot anchors' pieces, with its place."""
-
-    def run(batches):
-        for data, s, e, _, g, c in _some(batches, held, hot, True):
-            out = [[], [], [], [], []]
-            for a, b, anchor, content in zip(s.tolist(), e.tolist(), g.view(np.int64).tolist(), c.view(np.int64).tolist()):
-                for at in range(a, b + 1):
-                    digest = hashlib.blake2b(data[at : at + LENGTH].tobytes(), digest_size=16).digest()
-                    halves = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
-                    for column, x in zip(out, (anchor, content, at - a, *halves)):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["g", "c", "at", "h1", "h2"])
+def _windows(batches):
+    """(shard, g, c, at, h1, h2): two 64-bit hashes of each 200-byte string of the hot anchors' pieces, without the anchor."""
+    schema = pa.schema([("shard", pa.int32()), *((x, pa.int64()) for x in ("g", "c", "at", "h1", "h2"))])
+    for batch in batches:
+        rows = []
+        for g, c, shard, place, content in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "shard", "place", "bytes"))):
+            for at in range(len(content) - (LENGTH - ANCHOR) + 1):
+                digest = hashlib.blake2b(content[at : at + LENGTH - ANCHOR], digest_size=16, salt=(place - at).to_bytes(2, "little")).digest()
+                rows.append((shard, g, c, at, *(int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))))
+        yield _batch(rows, schema)
+
+
+def _removed(buckets: int, kept_bytes: bool):
+    """The rows of a shard without their repeated bytes, from what was told and found of its pieces."""
+
+    def run(key, table, news):
+        shard = Shard(table)
+        flags = shard.flags(news, buckets)
+        whole = np.flatnonzero(flags[shard.which] & WHOLE)
+        starts, ends, rows = [shard.start[whole]], [shard.end[whole] + LENGTH], [shard.row[whole]]
+        known = news.filter(news.column("c").is_valid())
+        own = np.flatnonzero(flags & OWN)
+        own = own[np.argsort(shard.c[own])]
+        c, low, high = (known.column(x).to_numpy().astype(np.int64) for x in ("c", "low", "high"))
+        if len(c):
+            run_ = shard.first[own[np.searchsorted(shard.c[own], c.view(U64))]]
+            starts.append(shard.start[run_] + low)
+            ends.append(shard.start[run_] + high + LENGTH)
+            rows.append(shard.row[run_])
+        start, end, row = (np.concatenate(x) for x in (starts, ends, rows))
+        order = np.argsort(start, kind="stable")
+        start, end, row = start[order], np.maximum.accumulate(end[order]) if len(order) else end, row[order]
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (start[1:] > end[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(start)) - 1 if len(first) else first
+        begin, stop, of = start[first], end[last], row[first]
+        n, offsets, data = len(table), shard.offsets, shard.data
+        change = np.zeros(len(data) + 1 + int(offsets[0]), np.int8)
+        np.add.at(change, begin, 1)
+        np.add.at(change, stop, -1)
+        keep = np.cumsum(change[:-1]) == 0
+        left = [data[a:b][keep[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        out = [
+            table.column("doc_id").combine_chunks(), pa.array(np.diff(offsets)), pa.array(np.bincount(of, stop - begin, n).astype(np.int64)),
+            pa.array(np.bincount(of, minlength=n)), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()),
+        ]
+        if kept_bytes:
+            out.append(pa.array(left, pa.binary()))
+        return pa.Table.from_arrays(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(out)])
 
     return run
 
 
-def ranges(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
-    """(doc_id, tie, found): runs of starts (low and high) of repeated 200-byte strings; docs has a `tie`."""
-    group_bytes = GROUP_BYTES if group_bytes is None else group_bytes
-    sc = docs.sparkSession.sparkContext
-    counts = docs.mapInArrow(_anchor_counts, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    twice = sc.broadcast(bitmap(counts.filter("n > 1")))
-    pieces = written(docs.mapInArrow(_pieces(twice), "g long, c long, doc_id long, tie long, s long, e long"), "pieces")
-    size = F.first("e") - F.first("s") + LENGTH
-    contents = cut(pieces.groupBy("g", "c").agg(F.count("*").alias("m"), size.alias("size")))
-    groups = contents.groupBy("g").agg(
-        F.count("*").alias("contents"), F.sum((F.col("m") == 1).cast("int")).alias("single"), F.sum("size").alias("size")
-    )
-    mixed = cut(groups.filter("contents > 1 and single > 0").select("g", "size"))
-    open_ = sc.broadcast(bitmap(mixed))
-    large = mixed.filter(F.col("size") > group_bytes)
-    hot = sc.broadcast(bitmap(large))
-    texts = docs.mapInArrow(_contents(open_, hot), "g long, c long, place int, bytes binary")
-    found = texts.repartition("g").sortWithinPartitions("g", "c").mapInArrow(_merged, "g long, c long, low long, high long")
-    if not large.isEmpty():
-        strings = docs.mapInArrow(_windows(open_, hot), "g long, c long, at long, h1 long, h2 long").distinct()
-        again = strings.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("h1", "h2")
-        counted = strings.join(again, ["h1", "h2"], "left_semi").select("g", "c", F.col("at").alias("low"), F.col("at").alias("high"))
-        found = found.union(counted)
-    found = cut(found).join(contents.filter("m = 1").select("g", "c"), ["g", "c"], "left_semi")
-    whole = contents.filter("m > 1").select("g", "c", F.lit(0).cast("long").alias("low"), (F.col("size") - LENGTH).alias("high"))
-    placed = pieces.join(whole.union(found), ["g", "c"]).select(
-        "doc_id", "tie", F.struct((F.col("s") + F.col("low")).alias("low"), (F.col("s") + F.col("high")).alias("high")).alias("run")
-    )
-    out = written(placed.groupBy("doc_id", "tie").agg(F.collect_set("run").alias("found")), "ranges")
-    drop_written(pieces)
-    return out
-
+def dedup(docs: DataFrame, kept_bytes: bool = True, part: int = PART, pieces: int = PIECES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with kept_bytes, kept: the remaining bytes, which may cut a character.
 
-def _removed(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-    for batch in batches:
-        out = [[] for _ in schema]
-        for doc_id, text, found in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "found"))):
-            data = (text or "").encode()
-            kept, at, removed, n = [], 0, 0, 0
-            for low, high in sorted((r["low"], r["high"] + LENGTH) for r in found or ()):
-                if low > at or not n:
-                    kept.append(data[at:low])
-                    n += 1
-                    removed += high - low
-                    at = high
-                elif high > at:
-                    removed += high - at
-                    at = high
-            kept = b"".join([*kept, data[at:]])
-            for column, x in zip(out, (doc_id, len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept)):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
-
-
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, which may cut a character)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    per = ranges(docs, **options)
-    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.tie") == F.col("b.tie"))
-    keys = per.select("doc_id", "tie")
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    keys = (F.broadcast(keys) if few else keys).alias("b")
-    some = docs.alias("a").join(keys, on, "left_semi")
-    some = some.alias("a").join(per.alias("b"), on).select("a.doc_id", "text", "found")
-    none = docs.alias("a").join(keys, on, "left_anti").select("doc_id", "text", F.lit(None).cast(per.schema["found"].dataType).alias("found"))
-    return some.union(none).mapInArrow(
-        _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    part and pieces bound what a task holds, not what is found.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n_bytes = F.octet_length("text").cast("long")
+    buckets = int(docs.agg(F.sum(n_bytes)).first()[0] or 0) // part + 1
+    dealt = docs.filter(n_bytes >= LENGTH).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+    asked = dealt.groupBy("shard").applyInArrow(_ask(buckets), ASKED)
+    told = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tell(pieces), TOLD)
+    contents = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_contents(buckets), CONTENTS)
+    dealt_g = contents.repartition("g")
+    found = dealt_g.filter("not hot").sortWithinPartitions("g", "c").mapInArrow(_merged, FOUND)
+    strings = dealt_g.filter("hot").mapInArrow(_windows, "shard int, g long, c long, at long, h1 long, h2 long")
+    again = strings.groupBy("g", "h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("g", "h1", "h2")
+    at = F.col("at").cast("int")
+    counted = strings.filter("shard >= 0").join(again, ["g", "h1", "h2"], "left_semi").select("shard", "c", at.alias("low"), at.alias("high"))
+    news = told.unionByName(found.union(counted), allowMissingColumns=True)
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_bytes
+    long = dealt.groupBy("shard").cogroup(news.groupBy("shard")).applyInArrow(_removed(buckets, kept_bytes), kinds)
+    none = F.lit(0).cast("long")
+    short = docs.filter(n_bytes < LENGTH).select(
+        "doc_id", n_bytes.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *[F.col("text").cast("binary").alias("kept")] * kept_bytes,
     )
+    return long.union(short)

@@ -42,7 +42,7 @@ def odd_texts():
 def test_odd_texts_against_brute_force(spark):
     docs = odd_texts()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for options in ({}, {"group_bytes": 0}):
+    for options in ({}, {"part": 3000}, {"part": 20_000, "pieces": 0}):
         check(repeats.dedup(df, **options).collect(), docs)
     assert repeats.dedup(df.limit(0)).count() == 0
 
@@ -86,3 +86,12 @@ def test_merge_without_the_anchors_bytes(monkeypatch):
 def test_whole_table(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in queries.table(spark, sf, "documents").collect()]
     check(queries.op4_suffix_dedup(spark, sf).collect(), docs)
+
+
+def test_kept_bytes_and_clashing_names(spark):
+    docs = [(1, "é" * 60 + "x" * 300), (2, "y" * 50 + "é" * 60 + "x" * 300), (None, None), (3, "short")]
+    df = spark.createDataFrame([(*r, 1, 2, "g") for r in docs], "doc_id long, text string, shard int, c int, g string")
+    rows = repeats.dedup(df).collect()
+    assert {r["doc_id"]: hashlib.sha256(r["kept"]).hexdigest() for r in rows} == {r["doc_id"]: r["kept_sha256"] for r in rows}
+    want = dict(zip([i for i, _ in docs], brute([t for _, t in docs])))
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == want
