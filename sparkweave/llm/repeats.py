@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -360,8 +361,7 @@ def repeated(pieces: list[tuple[int, bytes]], groups: list[int] | None = None) -
         hits = hits[position[hits] <= np.array([q for q, _ in pieces])[piece[hits]]]
     piece, position = piece[hits], position[hits]
     order = np.lexsort((position, piece))
-    cuts = np.searchsorted(piece[order], np.arange(len(pieces) + 1))
-    return [position[order][cuts[i] : cuts[i + 1]] for i in range(len(pieces))]
+    return np.split(position[order], np.searchsorted(piece[order], np.arange(1, len(pieces))))
 
 
 def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -377,7 +377,7 @@ _FOUND = pa.schema([("shard", pa.int32()), ("c", pa.int64()), ("low", pa.int32()
 
 
 def _merged(batches):
-    """Rows sorted by g and c: repeated runs within each piece, groups taken together up to two shards' bytes."""
+    """Rows sorted by g and c: repeated runs within each piece, groups taken together up to two shards' bytes; hot ones are left out."""
     held, size, last = [], 0, None
 
     def close():
@@ -390,6 +390,7 @@ def _merged(batches):
         return _batch(rows, _FOUND)
 
     for batch in batches:
+        batch = batch.filter(pc.invert(batch.column("hot")))
         for g, c, shard, place, content in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "shard", "place", "bytes"))):
             content = content[:place] + bytes(STAND_IN) + content[place:]
             if g != last and size + len(content) >= 2 * SHARD_BYTES - 4096:
@@ -404,11 +405,14 @@ def _windows(batches):
     """(shard, g, c, at, h1, h2): two 64-bit hashes of each 200-byte string of the hot anchors' pieces, without the anchor."""
     schema = pa.schema([("shard", pa.int32()), *((x, pa.int64()) for x in ("g", "c", "at", "h1", "h2"))])
     for batch in batches:
-        rows = []
+        batch, rows = batch.filter(batch.column("hot")), []
         for g, c, shard, place, content in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "shard", "place", "bytes"))):
             for at in range(len(content) - (LENGTH - ANCHOR) + 1):
                 digest = hashlib.blake2b(content[at : at + LENGTH - ANCHOR], digest_size=16, salt=(place - at).to_bytes(2, "little")).digest()
                 rows.append((shard, g, c, at, *(int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))))
+            if len(rows) > 10_000:
+                yield _batch(rows, schema)
+                rows = []
         yield _batch(rows, schema)
 
 
@@ -466,9 +470,10 @@ def dedup(docs: DataFrame, kept_bytes: bool = True, part: int = PART, pieces: in
     asked = dealt.groupBy("shard").applyInArrow(_ask(buckets), ASKED)
     told = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tell(pieces), TOLD)
     contents = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_contents(buckets), CONTENTS)
-    dealt_g = contents.repartition("g")
-    found = dealt_g.filter("not hot").sortWithinPartitions("g", "c").mapInArrow(_merged, FOUND)
-    strings = dealt_g.filter("hot").mapInArrow(_windows, "shard int, g long, c long, at long, h1 long, h2 long")
+    # both readers take all rows of one exchange, which a filter would double
+    contents = contents.repartition(F.when(F.col("hot"), F.xxhash64("c")).otherwise(F.col("g")))
+    found = contents.sortWithinPartitions("g", "c").mapInArrow(_merged, FOUND)
+    strings = contents.mapInArrow(_windows, "shard int, g long, c long, at long, h1 long, h2 long")
     again = strings.groupBy("g", "h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("g", "h1", "h2")
     at = F.col("at").cast("int")
     counted = strings.filter("shard >= 0").join(again, ["g", "h1", "h2"], "left_semi").select("shard", "c", at.alias("low"), at.alias("high"))
