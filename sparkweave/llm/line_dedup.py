@@ -35,11 +35,11 @@ def split_lines(text: Column) -> Column:
 
 
 def frequencies(pages: DataFrame) -> DataFrame:
-    """(host, line, pages_with, pages): line is the 64-bit hash of each distinct line of each host."""
-    own = pages.select("_host", F.explode(F.array_distinct("_hashes")).alias("line"))
-    counts = own.groupBy("_host", "line").agg(F.count("*").alias("pages_with"))
-    totals = pages.groupBy("_host").agg(F.count("*").alias("pages"))
-    return counts.join(totals, "_host")
+    """(host, line, pages_with, pages) from (host, hashes): line is the 64-bit hash of each distinct line of each host."""
+    own = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line"))
+    counts = own.groupBy("host", "line").agg(F.count("*").alias("pages_with"))
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    return counts.join(totals, "host")
 
 
 def dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 5, text: str = "html", url: str = "url") -> DataFrame:
@@ -47,25 +47,24 @@ def dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 5, text: str =
 
     A line is dropped where its host has min_pages pages or more and it is on more than `ratio` of them. Edge cases:
     a page without a host, with a null or empty text, keeps what it has; repeated rows count as pages of their own;
-    repeated lines within a page count once and are dropped together; an empty table gives an empty result. Columns
-    of the input that bear an output's name are replaced.
+    repeated lines within a page count once and are dropped together; an empty table gives an empty result. Extra
+    columns pass through, whatever they are called, but for those that bear the name of an output, which replaces them.
     """
-    df = pages.withColumn("lines", split_lines(F.col(text))).withColumn("_host", host(F.col(url)))
-    df = df.withColumn("_hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    slim = df.select("_host", "_hashes").filter(F.col("_host").isNotNull())
+    df = pages.select(F.struct("*").alias("row"), split_lines(F.col(text)).alias("lines"), host(F.col(url)).alias("host"))
+    df = df.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
     flagged = (
-        frequencies(slim)
+        frequencies(df.select("host", "hashes").filter(F.col("host").isNotNull()))
         .filter((F.col("pages") >= min_pages) & (F.col("pages_with") > ratio * F.col("pages")))
-        .groupBy("_host")
-        .agg(F.collect_list("line").alias("_drop"))
+        .groupBy("host")
+        .agg(F.collect_list("line").alias("drop"))
     )
-    few = flagged.agg(F.sum(F.size("_drop"))).first()[0] or 0
-    out = df.join(F.broadcast(flagged) if few <= BROADCAST_LINES else flagged, "_host", "left")
-    kept = F.filter("lines", lambda x, i: ~F.array_contains("_drop", F.xxhash64(x)))
-    out = out.withColumn("n_lines", F.size("lines").cast("long"))
-    out = out.withColumn("lines", F.when(F.col("_drop").isNull(), F.col("lines")).otherwise(kept))
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.size("lines"))
-    return out.select(*[c for c in out.columns if c not in ("_host", "_hashes", "_drop")])
+    few = flagged.agg(F.sum(F.size("drop"))).first()[0] or 0
+    out = df.join(F.broadcast(flagged) if few <= BROADCAST_LINES else flagged, "host", "left")
+    kept = F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(x)))
+    out = out.withColumn("kept", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept))
+    n = F.size("lines").cast("long")
+    own = [F.col("row").getField(c).alias(c) for c in pages.columns if c not in ("lines", "n_lines", "n_dropped")]
+    return out.select(*own, F.col("kept").alias("lines"), n.alias("n_lines"), (n - F.size("kept")).alias("n_dropped"))
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -170,11 +170,16 @@ def model_spans(text: Column, base: Column, model: list[float], threshold: float
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs with `secret_spans`: all spans by start, then kind. The text is read whole."""
+    """docs with `secret_spans`: all spans by start, then kind. The text is read whole.
+
+    Extra columns pass through, whatever they are called, but for one of the name secret_spans, which is replaced.
+    """
     model = fit(docs) if model is None else model
-    df = docs.withColumn("_text", whole(F.col("text"))).withColumn("_base", base_spans(F.col("_text")))
-    df = df.withColumn("_more", model_spans(F.col("_text"), F.col("_base"), model, threshold))
-    return df.withColumn("secret_spans", F.sort_array(F.concat("_base", "_more"))).drop("_text", "_base", "_more")
+    df = docs.select(F.struct("*").alias("row"), whole(F.col("text")).alias("text"))
+    df = df.withColumn("base", base_spans(F.col("text")))
+    df = df.withColumn("more", model_spans(F.col("text"), F.col("base"), model, threshold))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "secret_spans"]
+    return df.select(*own, F.sort_array(F.concat("base", "more")).alias("secret_spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:

@@ -17,3 +17,10 @@ def test_edges(spark, monkeypatch):
         assert got[0] == (3, 2, ["body 0"]) and len(got) == len(rows)
         assert got[9] == (1, 0, ["menu"]) and got[10] == (0, 0, []) and got[12] == (1, 0, ["menu"])
     assert line_dedup.dedup(pages.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(i, "http://h/x", f"menu\nline {i}", "a", "b", "c", "d") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, drop string, host string, row string, lines string")
+    got = line_dedup.dedup(pages).collect()
+    assert all(r["lines"] == [f"line {r['page_id']}"] and (r["drop"], r["host"], r["row"]) == ("a", "b", "c") for r in got) and len(got) == 6
