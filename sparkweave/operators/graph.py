@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 
+#: Rounds after which what has been seen is written as one table, so that a round reads few of them.
+MERGE = 8
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
@@ -25,6 +31,7 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         if new.isEmpty():
             break
         seen = seen.union(new)
+        seen = seen if hop % MERGE else cut(seen)
     return seen
 
 
@@ -42,6 +49,7 @@ def shortest_path(edges: DataFrame, source, target, max_depth: int) -> DataFrame
             return levels[0].limit(0).select(F.lit(0).alias("hop"), "node")
         levels.append(new)
         seen = seen.union(new.select("node"))
+        seen = seen if len(levels) % MERGE else cut(seen)
     path, at = [], target
     for hop in range(len(levels) - 1, -1, -1):
         path.append((hop, at))
@@ -94,17 +102,16 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, toleranc
     return ranks.select("node", "rank")
 
 
-def shortest_distances(edges: DataFrame, source, rounds: int = 10_000) -> DataFrame:
+def shortest_distances(edges: DataFrame, source) -> DataFrame:
     """(node, distance) from source over edges (src, dst, weight), weights not negative: relaxation until nothing improves."""
     spark = edges.sparkSession
     best = new = cut(spark.createDataFrame([(source, 0.0)], "node long, distance double"))
-    for _ in range(rounds):
+    while True:
         step = new.join(edges, new.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("next"))
         new = cut(step.join(best, "node", "left").filter("distance is null or next < distance").select("node", F.col("next").alias("distance")))
         if new.isEmpty():
-            break
+            return best
         best = cut(best.join(new.select("node"), "node", "left_anti").unionByName(new))
-    return best
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -161,19 +168,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     return per.withColumn("centrality", (F.col("out_degree") + F.col("in_degree")) / max(n - 1, 1))
 
 
-def distances(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
-    """(source, node, hops) from every node of `sources`, in rounds over all of them at once."""
+def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, node, hops) from every node of `sources`, in rounds over all of them at once, up to depth where given."""
     seen = new = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))
-    for hop in range(1, depth + 1):
+    for hop in count(1):
+        if depth is not None and hop > depth:
+            break
         step = new.join(edges, new.node == edges.src).select("source", F.col("dst").alias("node")).distinct()
         new = cut(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if new.isEmpty():
             break
         seen = seen.union(new)
+        seen = seen if hop % MERGE else cut(seen)
     return seen
 
 
-def centralities(edges: DataFrame, sources: DataFrame, depth: int = 64) -> DataFrame:
+def centralities(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, closeness, harmonic, eccentricity) of the nodes of sources; closeness after Wasserman and Faust."""
     n = nodes(edges).count()
     far = distances(edges, sources, depth).filter("hops > 0").groupBy(F.col("source").alias("node")).agg(
@@ -190,3 +200,17 @@ def match_chain(edges: DataFrame, hops: int) -> DataFrame:
     for i in range(1, hops):
         out = out.join(edges.select(F.col("src").alias(f"n{i}"), F.col("dst").alias(f"n{i + 1}")), f"n{i}")
     return out.select(*[f"n{i}" for i in range(hops + 1)])
+
+
+def extent(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(diameter, radius): the largest and least eccentricity over hops of the nodes of sources (all by default) that reach another."""
+    some = nodes(edges) if sources is None else sources
+    far = centralities(edges, some).filter("eccentricity > 0")
+    return far.agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"))
+
+
+def subgraph(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """The edges between nodes at most depth hops from those of start."""
+    near = cut(traverse(edges, start, depth).select("node"))
+    inside = edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi")
+    return inside.join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,15 +11,24 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def fixed_point(base: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 1000) -> DataFrame:
-    """UNION DISTINCT recursion: step is applied to the rows that the round before added, until none are new."""
+#: Rounds after which what has been seen is written as one table, so that a round reads few of them.
+MERGE = 8
+
+
+def fixed_point(base: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
+    """UNION DISTINCT recursion: step is applied to the rows that the round before added, until none are new.
+
+    With limit, more rounds than that are an error, never a shorter result.
+    """
     total = new = cut(base.distinct())
-    for _ in range(limit):
+    for i in count(1):
         new = cut(step(new).distinct().join(total, base.columns, "left_anti"))
         if new.isEmpty():
-            break
+            return total
+        if limit is not None and i >= limit:
+            raise RuntimeError(f"rows are still added after {limit} rounds")
         total = total.unionByName(new)
-    return total
+        total = total if i % MERGE else cut(total)
 
 
 def tree_sum(edges: DataFrame, values: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, radians
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -13,23 +11,30 @@ from ..functions import geo
 DEGREE = 111_194.9
 
 
-def within_distance(a: DataFrame, b: DataFrame, metres: float, max_lat: float = 80.0) -> DataFrame:
+def _around(band: Column, high: float) -> Column:
+    """Cells around the globe in a band of latitude: each as wide as the distance reaches there, one where it reaches a pole."""
+    edge = F.greatest(F.abs(band * high), F.abs((band + 1) * high))
+    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(min(high, 90.0)))) / F.cos(F.radians(edge))))) * 1.001
+    return F.when(edge + high >= 90, F.lit(1)).otherwise(F.greatest(F.floor(360 / reach), F.lit(1)).cast("int"))
+
+
+def within_distance(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     """Pairs of rows (columns x, y in degrees on both sides, renamed a_*, b_*) at most metres apart.
 
-    Cells are at least metres wide up to max_lat; b is sent to its own and the eight neighbouring cells.
+    Latitude is cut in bands at least metres high, a band in cells at least as wide as metres reach there; b is sent to its
+    own and the neighbouring cells of its own and the neighbouring bands, each once.
     """
     high = metres / DEGREE * 1.001
-    around_n = max(1, int(360 / (high / cos(radians(max_lat)))))
-    wide = 360 / around_n
     a = a.select([F.col(c).alias(f"a_{c}") for c in a.columns])
     b = b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
-    a = a.withColumns({"_i": F.pmod(F.floor(F.col("a_x") / wide), F.lit(around_n)), "_j": F.floor(F.col("a_y") / high)})
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 2)[: around_n] for j in (-1, 0, 1)])
-    b = b.withColumn("_d", F.explode(around)).withColumns(
-        {"_i": F.pmod(F.floor(F.col("b_x") / wide) + F.col("_d.i"), F.lit(around_n)), "_j": F.floor(F.col("b_y") / high) + F.col("_d.j")}
-    )
+    cell = lambda x, n: F.pmod(F.floor((x + 180) / 360 * n), n)
+    a = a.withColumn("_j", F.floor(F.col("a_y") / high)).withColumn("_i", cell(F.col("a_x"), _around(F.col("_j"), high)))
+    b = b.withColumn("_j", F.explode(F.array(*[F.floor(F.col("b_y") / high) + j for j in (-1, 0, 1)])))
+    n = _around(F.col("_j"), high)
+    beside = F.array_distinct(F.array(*[F.pmod(cell(F.col("b_x"), n) + i, n) for i in (-1, 0, 1)]))
+    b = b.withColumn("_i", F.explode(beside))
     met = a.join(b, ["_i", "_j"]).withColumn("metres", geo.haversine(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")))
-    return met.filter(F.col("metres") <= metres).drop("_i", "_j", "_d")
+    return met.filter(F.col("metres") <= metres).drop("_i", "_j")
 
 
 def nearest(df: DataFrame, lon: float, lat: float, k: int, key: str) -> DataFrame:

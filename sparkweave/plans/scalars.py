@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register, register_sql, table
+from ..functions import json as js
 from ..functions import scalar as fn
 
 register_sql(
@@ -103,3 +104,61 @@ def _time_bucket(spark, d):
 def _diff(spark, d):
     at = F.lit("1995-01-01").cast("timestamp")
     return table(spark, d, "orders").select("o_orderkey", F.round(fn.date_diff(F.col("o_orderdate"), at), 3).alias("s"))
+
+
+register_sql(
+    "fn_trim_split",
+    """SELECT c_custkey, ltrim(concat('  ', c_name, ' ')) AS l, rtrim(concat('  ', c_name, ' ')) AS r, split(c_name, '#')[0] AS head,
+       size(split(c_name, '#')) AS parts FROM {customer}""",
+    """SELECT c_custkey, ltrim(concat('  ', c_name, ' ')) AS l, rtrim(concat('  ', c_name, ' ')) AS r, string_split(c_name, '#')[1] AS head,
+       len(string_split(c_name, '#'))::INT AS parts FROM customer""",
+)
+register_sql(
+    "fn_log2_decimal",
+    "SELECT p_partkey, round(log2(p_retailprice), 9) AS l2, CAST(CAST(p_retailprice AS DECIMAL(18, 2)) AS STRING) AS d FROM {part}",
+    "SELECT p_partkey, round(log2(p_retailprice), 9) AS l2, p_retailprice::DECIMAL(18, 2)::VARCHAR AS d FROM part",
+)
+register_sql(
+    "fn_date_parts",
+    """SELECT event_id, CAST(floor(date_part('second', ts)) AS BIGINT) AS s, CAST(date_part('second', ts) * 1000000 AS BIGINT) AS us,
+       to_timestamp(date_format(ts, 'yyyy-MM-dd HH:mm:ss')) AS parsed, timestamp_micros(1704067200000000 + event_id) AS from_micros,
+       date_format(ts, 'yyyy/MM/dd') AS shown FROM {events}""",
+    """SELECT event_id, second(ts) AS s, microsecond(ts) AS us, date_trunc('second', ts)::TIMESTAMP AS parsed,
+       make_timestamp(1704067200000000 + event_id) AS from_micros, strftime(ts, '%Y/%m/%d') AS shown FROM events""",
+)
+register_sql(
+    "fn_array_build",
+    """SELECT vec_id, array_join(array_prepend(a, 9), ',') AS pre, array_join(concat(a, array(7, 8)), ',') AS cat, array_join(array_sort(array_union(a, array(7))), ',') AS uni,
+       typeof(a) AS kind FROM (SELECT vec_id, array(5, 1, 3) AS a FROM {embeddings})""",
+    "SELECT vec_id, '9,5,1,3' AS pre, '5,1,3,7,8' AS cat, '1,3,5,7' AS uni, 'array<int>' AS kind FROM embeddings",
+)
+
+
+@register("fn_json_build", """SELECT o_orderkey, json_type(d) AS kind, (d->>'k')::BIGINT AS k, d->>'s' AS s, 3 AS n, 'ARRAY' AS array_kind FROM
+  (SELECT o_orderkey, json_object('k', o_orderkey, 's', o_orderstatus) AS d FROM orders)""")
+def _json_build(spark, d):
+    doc = js.json_object(k=F.col("o_orderkey"), s=F.col("o_orderstatus"))
+    arr = js.json_array(F.lit(1), F.lit(2), F.col("o_orderkey"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.upper(js.json_type(doc)).alias("kind"), F.get_json_object(doc, "$.k").cast("long").alias("k"),
+        F.get_json_object(doc, "$.s").alias("s"), F.json_array_length(arr).alias("n"), F.upper(js.json_type(arr)).alias("array_kind"),
+    )
+
+
+@register("fn_json_edit", """SELECT o_orderkey, o_orderkey + 1 AS k, o_orderstatus AS s, NULL::VARCHAR AS gone, o_orderstatus AS kept, 'new' AS merged, o_orderstatus = 'F' AS has
+  FROM orders""")
+def _json_edit(spark, d):
+    doc = js.json_object(k=F.col("o_orderkey"), s=F.col("o_orderstatus"))
+    changed = js.json_set(doc, "k", (F.col("o_orderkey") + 1).cast("string"))
+    removed, merged = js.json_remove(doc, "k"), js.json_merge(doc, F.lit('{"k":"new"}'))
+    get = F.get_json_object
+    return table(spark, d, "orders").select(
+        "o_orderkey", get(changed, "$.k").cast("long").alias("k"), get(changed, "$.s").alias("s"), get(removed, "$.k").alias("gone"),
+        get(removed, "$.s").alias("kept"), get(merged, "$.k").alias("merged"), js.json_contains(doc, F.lit('{"s":"F"}')).alias("has"),
+    )
+
+
+@register("fn_uuid", "SELECT count(*) AS n, count(*) AS valid, count(*) AS distinct_ids FROM orders")
+def _uuid(spark, d):
+    ids = table(spark, d, "orders").select(F.expr("uuid()").alias("u"))
+    return ids.agg(F.count("*").alias("n"), F.count(F.when(fn.is_uuid(F.col("u")), 1)).alias("valid"), F.countDistinct("u").alias("distinct_ids"))
