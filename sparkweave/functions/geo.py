@@ -84,3 +84,69 @@ def circle(lon: Column, lat: Column, metres: Column, segments: int = 32) -> Colu
             (lat + F.degrees(metres / RADIUS) * F.sin(i * turn)).alias("y"),
         ),
     )
+
+
+def _cells(hash_: Column, precision: int) -> tuple[Column, Column]:
+    """The two interleaved cell numbers of a geohash, longitude first."""
+    x, y = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k in range(5 * precision):
+        code = F.instr(F.lit(BASE32), F.substring(hash_, k // 5 + 1, 1)) - 1
+        bit = F.shiftright(code, 4 - k % 5).bitwiseAND(F.lit(1))
+        x, y = (x * 2 + bit, y) if k % 2 == 0 else (x, y * 2 + bit)
+    return x, y
+
+
+def geohash_decode(hash_: Column, precision: int) -> Column:
+    """struct(x, y): the centre of the cell of a geohash of `precision` characters."""
+    x, y = _cells(hash_, precision)
+    wide, high = 1 << (5 * precision + 1) // 2, 1 << 5 * precision // 2
+    return F.struct(((x + 0.5) / wide * 360 - 180).alias("x"), ((y + 0.5) / high * 180 - 90).alias("y"))
+
+
+def geohash_neighbor(hash_: Column, precision: int, east: int | Column, north: int | Column) -> Column:
+    """The geohash `east` and `north` cells away: around the globe eastwards, null beyond a pole."""
+    at = geohash_decode(hash_, precision)
+    lon = at["x"] + 360.0 * east / (1 << (5 * precision + 1) // 2)
+    lat = at["y"] + 180.0 * north / (1 << 5 * precision // 2)
+    # the lambda's variable keeps the decoding from being repeated for every bit
+    moved = F.array(F.struct((F.pmod(lon + 180, F.lit(360.0)) - 180).alias("x"), lat.alias("y")))
+    return F.transform(moved, lambda p: F.when(F.abs(p["y"]) < 90, geohash(p["x"], p["y"], precision)))[0]
+
+
+def point_from_wkt(wkt: Column) -> Column:
+    """struct(x, y) of `POINT(x y)`, null for other text."""
+    number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
+    pattern = rf"^\s*POINT\s*\(\s*{number}\s+{number}\s*\)\s*$"
+    part = lambda i: F.regexp_extract(wkt, pattern, i).try_cast("double")
+    return F.when(wkt.rlike(pattern), F.struct(part(1).alias("x"), part(2).alias("y")))
+
+
+def point_from_geojson(text: Column) -> Column:
+    """struct(x, y) of a GeoJSON point, null for other geometries."""
+    g = F.from_json(text, "type string, coordinates array<double>")
+    return F.when(g["type"] == "Point", F.struct(g["coordinates"][0].alias("x"), g["coordinates"][1].alias("y")))
+
+
+def rectangle(x: Column, y: Column, half_width: float, half_height: float) -> Column:
+    """Closed ring of a rectangle around a point."""
+    corners = ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))
+    return F.array(*[F.struct((x + i * half_width).alias("x"), (y + j * half_height).alias("y")) for i, j in corners])
+
+
+def is_valid_ring(ring: Column) -> Column:
+    """Whether a ring is closed, of four points or more and within the range of coordinates."""
+    inside = F.forall(ring, lambda p: p["x"].between(-180, 180) & p["y"].between(-90, 90))
+    return F.coalesce((F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)) & inside, F.lit(False))
+
+
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two closed rings share a point: edges meet, or one lies within the other."""
+    legs = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    turn = lambda o, p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"])
+    overlap = lambda s, t, c: (F.greatest(F.least(s["p"][c], s["q"][c]), F.least(t["p"][c], t["q"][c]))
+                               <= F.least(F.greatest(s["p"][c], s["q"][c]), F.greatest(t["p"][c], t["q"][c])))
+    meet = lambda s, t: (overlap(s, t, "x") & overlap(s, t, "y")
+                         & (F.signum(turn(s["p"], s["q"], t["p"])) * F.signum(turn(s["p"], s["q"], t["q"])) <= 0)
+                         & (F.signum(turn(t["p"], t["q"], s["p"])) * F.signum(turn(t["p"], t["q"], s["q"])) <= 0))
+    crossing = F.exists(legs(a), lambda s: F.exists(legs(b), lambda t: meet(s, t)))
+    return crossing | contains(a, b[0]["x"], b[0]["y"]) | contains(b, a[0]["x"], a[0]["y"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -214,3 +214,50 @@ def subgraph(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     near = cut(traverse(edges, start, depth).select("node"))
     inside = edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi")
     return inside.join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, betweenness) of a directed graph: over the sources, the share of shortest paths to each other node that pass
+    through the node. Levels of all sources advance together with their path counts; dependencies return level by level.
+    """
+    edges = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    level = cut(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
+    levels, seen = [level], level.select("source", "node")
+    while True:
+        step = level.join(edges, level.node == edges.src).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = cut(step.join(seen, ["source", "node"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.union(level.select("source", "node"))
+        seen = seen if len(levels) % MERGE else cut(seen)
+    every, parts, below = nodes(edges), [], None
+    for level in reversed(levels[1:]):
+        got = level.withColumn("share", F.lit(0.0)) if below is None else level.join(below, ["source", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        got = cut(got.select("source", "node", "paths", "share"))
+        parts.append(got.select("node", "share"))
+        above = levels[len(levels) - 1 - len(parts)]
+        up = got.withColumnRenamed("node", "dst").withColumnRenamed("paths", "down").join(edges, "dst")
+        up = up.join(above.withColumnRenamed("node", "src"), ["source", "src"])
+        below = up.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("paths") / F.col("down") * (1 + F.col("share"))).alias("share"))
+    total = every.select("node", F.lit(0.0).alias("share"))
+    for p in parts:
+        total = total.union(p)
+    return total.groupBy("node").agg(F.sum("share").alias("betweenness"))
+
+
+def statistics(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, loops, and the largest and mean out-degree of nodes with an out-edge."""
+    per = edges.groupBy("src").agg(F.count("*").alias("d"), F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("l"))
+    out = per.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("edges"), F.coalesce(F.sum("l"), F.lit(0)).alias("loops"), F.max("d").alias("max_out"), F.avg("d").alias("mean_out"))
+    return nodes(edges).agg(F.count("*").alias("nodes")).join(out)
+
+
+def neighbors_as_of(edges: DataFrame, node, at: Column) -> DataFrame:
+    """(dst) of the edges (src, dst, valid_from) from a node that exist at a time."""
+    return edges.filter((F.col("src") == F.lit(node)) & (F.col("valid_from") <= at)).select("dst").distinct()
+
+
+def optional_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(n0, n1): each node of starts with its out-neighbours, n1 null where it has none."""
+    return starts.select(F.col("node").alias("n0")).join(edges.select(F.col("src").alias("n0"), F.col("dst").alias("n1")), "n0", "left")

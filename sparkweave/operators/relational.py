@@ -93,3 +93,16 @@ def hash_links(df: DataFrame, order: str, digest: str) -> DataFrame:
     inner = F.lag(digest).over(W.partitionBy("_p").orderBy(order))
     out = ranged.withColumn("_prev", inner).join(F.broadcast(before), "_p", "left")
     return out.withColumn("link", F.sha2(F.concat(F.coalesce("_prev", "_end", F.lit("")), digest), 256)).drop("_p", "_prev", "_end")
+
+
+def count_min(df: DataFrame, item: str, depth: int = 5, width: int = 2048) -> DataFrame:
+    """(row, bucket, count): a count-min sketch of `depth` rows; its size does not depend on the data."""
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(item, F.lit(i)), F.lit(width)).alias("bucket")) for i in range(depth)]))
+    return df.select(rows.alias("c")).groupBy("c.row", "c.bucket").agg(F.count("*").alias("count"))
+
+
+def count_min_estimates(sketch: DataFrame, items: DataFrame, item: str, depth: int = 5, width: int = 2048) -> DataFrame:
+    """(item, estimate): the least counter of each item, never under its true count."""
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(item, F.lit(i)), F.lit(width)).alias("bucket")) for i in range(depth)]))
+    asked = items.select(item, rows.alias("c")).select(item, "c.*")
+    return asked.join(F.broadcast(sketch), ["row", "bucket"], "left").groupBy(item).agg(F.min(F.coalesce("count", F.lit(0))).alias("estimate"))

@@ -129,3 +129,28 @@ def max_similarity(df: DataFrame, key: str, vectors: str, query: list[list[float
         total = F.aggregate(sims, F.lit(0.0), lambda a, x: a + x)
         score = score + {"max": F.array_max(sims), "avg": total / F.size(sims), "sum": total}[how]
     return df.select(key, score.alias("score"))
+
+
+def analyze(text: Column, stop: list[str] = (), synonyms: dict[str, str] | None = None) -> Column:
+    """Tokens without stop words, each replaced by the head of its synonym group where it has one."""
+    kept = F.filter(tokens(text), lambda x: ~x.isin(list(stop))) if stop else tokens(text)
+    if not synonyms:
+        return kept
+    heads = F.create_map(*[F.lit(v) for pair in synonyms.items() for v in pair])
+    return F.transform(kept, lambda x: F.coalesce(heads[x], x))
+
+
+def char_ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, gram, count): character n-grams inside the tokens of a text."""
+    terms = df.select(key, F.explode(tokens(F.col(text))).alias("_t")).filter(F.length("_t") >= n)
+    grams = F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substring(F.col("_t"), i, F.lit(n)))
+    return terms.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("count"))
+
+
+def field_scores(parts: list[tuple[DataFrame, float]], key: str) -> DataFrame:
+    """(key, score): the weighted sum of one score table (key, score) per field."""
+    out = None
+    for df, weight in parts:
+        one = df.select(key, (F.col("score") * weight).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(key).agg(F.sum("score").alias("score"))

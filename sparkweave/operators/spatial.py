@@ -40,3 +40,15 @@ def within_distance(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
 def nearest(df: DataFrame, lon: float, lat: float, k: int, key: str) -> DataFrame:
     d = geo.haversine(F.lit(lon), F.lit(lat), F.col("x"), F.col("y"))
     return df.withColumn("metres", d).orderBy("metres", key).limit(k)
+
+
+def intersecting(a: DataFrame, b: DataFrame, key: str, ring: str, cell: float = 10.0) -> DataFrame:
+    """(a_<key>, b_<key>): pairs of rings that share a point; rings meet in the grid cells of their envelopes."""
+    def dealt(df, side):
+        e = geo.envelope(F.col(ring))
+        span = lambda lo, hi: F.sequence(F.floor(e[lo] / cell), F.floor(e[hi] / cell))
+        out = df.select(F.col(key).alias(f"{side}_{key}"), F.col(ring).alias(f"{side}_ring"), F.explode(span("min_x", "max_x")).alias("cx"), span("min_y", "max_y").alias("cys"))
+        return out.withColumn("cy", F.explode("cys")).drop("cys")
+
+    met = dealt(a, "a").join(dealt(b, "b"), ["cx", "cy"]).filter(geo.intersects(F.col("a_ring"), F.col("b_ring")))
+    return met.select(f"a_{key}", f"b_{key}").distinct()

@@ -154,3 +154,54 @@ for _name, _run in {
     "label_propagation": lambda e: graph.label_propagation(e, 10),
 }.items():
     register(f"graph_whole_{_name}")(lambda spark, d, run=_run: run(cut(whole_edges(spark, d))))
+
+
+@register("graph_subgraph", f"""WITH {_A}, n AS (SELECT 15 AS node UNION SELECT dst FROM e WHERE src = 15)
+  SELECT src, dst FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)""")
+def _subgraph(spark, d):
+    return graph.subgraph(cut(whole_edges(spark, d)), spark.range(1).select(F.lit(15).cast("long").alias("node")), 1)
+
+
+@register("graph_statistics", f"""WITH {_A}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), g AS (SELECT src, count(*) AS d FROM e GROUP BY src)
+  SELECT (SELECT count(*) FROM n) AS nodes, sum(d)::BIGINT AS edges, 0::BIGINT AS loops, max(d) AS max_out, round(avg(d), 9) AS mean_out FROM g""")
+def _statistics(spark, d):
+    return graph.statistics(cut(whole_edges(spark, d))).withColumn("mean_out", F.round("mean_out", 9))
+
+
+@register("graph_neighbors_as_of", """SELECT DISTINCT l_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  WHERE o_custkey = 5 AND o_orderdate <= TIMESTAMP '1996-06-30'""")
+def _neighbors_as_of(spark, d):
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    e = lines.select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("o_orderdate").alias("valid_from"))
+    return graph.neighbors_as_of(e, 5, F.lit("1996-06-30").cast("timestamp"))
+
+
+@register("graph_optional_match", "SELECT c_custkey AS n0, o_orderkey AS n1 FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+def _optional(spark, d):
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    return graph.optional_chain(e, table(spark, d, "customer").select(F.col("c_custkey").alias("node")))
+
+
+#: Trade between nations, from every line of every order: the customer's nation -> the supplier's.
+_N = """e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)"""
+
+
+def trade(spark, d):
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return lines.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
+
+
+@register("graph_diameter", f"""WITH RECURSIVE {_N}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+  t(source, node, hops) AS (SELECT node, node, 0 FROM n UNION SELECT source, e.dst, hops + 1 FROM t JOIN e ON e.src = t.node WHERE hops < 25),
+  h AS (SELECT source, node, min(hops) AS hops FROM t GROUP BY ALL), x AS (SELECT source, max(hops) AS ecc FROM h GROUP BY source)
+  SELECT max(ecc) AS diameter, min(ecc) AS radius FROM x WHERE ecc > 0""")
+def _diameter(spark, d):
+    return graph.extent(cut(trade(spark, d)))
+
+
+@register("graph_betweenness")
+def _betweenness(spark, d):
+    e = cut(trade(spark, d))
+    return graph.betweenness(e, graph.nodes(e)).withColumn("betweenness", F.round("betweenness", 9))

@@ -294,3 +294,14 @@ def _guard(spark, d):
 def _chain(spark, d):
     rows = table(spark, d, "events").select("event_id", F.sha2(F.concat(F.col("event_id").cast("string"), "event_type"), 256).alias("h"))
     return relational.hash_links(rows, "event_id", "h").select("event_id", "link")
+
+
+@register("agg_count_min", "SELECT DISTINCT user_id, true AS never_under, true AS close FROM events")
+def _count_min(spark, d):
+    e = table(spark, d, "events")
+    true = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    est = relational.count_min_estimates(relational.count_min(e, "user_id"), true, "user_id").join(true, "user_id")
+    # within e / width of the total, to a chance of e^-depth an item
+    total = e.agg(F.count("*").alias("total"))
+    return est.join(F.broadcast(total)).select("user_id", (F.col("estimate") >= F.col("n")).alias("never_under"),
+                                               (F.col("estimate") <= F.col("n") + F.col("total") * 2.72 / 2048 + 1).alias("close"))

@@ -103,3 +103,33 @@ def _phrase(spark, d):
 @register("text_highlight", "SELECT item_id, regexp_replace(text, '(?i)\\b(the)\\b', '<b>\\1</b>', 'g') AS marked FROM benchmark")
 def _highlight(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"(?i)\b(the)\b", "<b>$1</b>").alias("marked"))
+
+
+_W = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1)"
+
+
+@register("text_analyzer", f"""SELECT item_id, array_to_string(list_transform(list_filter({_W}, lambda x: x NOT IN ('the', 'and', 'of')),
+    lambda x: CASE WHEN x IN ('big', 'huge') THEN 'large' ELSE x END), ' ') AS terms FROM benchmark""")
+def _analyzer(spark, d):
+    terms = op.analyze(F.col("text"), ["the", "and", "of"], {"big": "large", "huge": "large"})
+    return table(spark, d, "benchmark").select("item_id", F.array_join(terms, " ").alias("terms"))
+
+
+@register("text_char_ngrams", f"""SELECT item_id, gram, count(*) AS count FROM (SELECT item_id, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram
+    FROM (SELECT item_id, unnest({_W}) AS t FROM benchmark) WHERE length(t) >= 3) GROUP BY ALL""")
+def _char_ngrams(spark, d):
+    return op.char_ngrams(table(spark, d, "benchmark"), "item_id", "text", 3)
+
+
+_B = """t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower({field}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1) AS t FROM documents),
+  n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t), h AS (SELECT doc_id, len(t) AS len, len(list_filter(t, lambda x: x = '{term}')) AS tf FROM t),
+  f AS (SELECT count(*) FILTER (WHERE tf > 0) AS df FROM h)
+  SELECT doc_id, ln((n.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / n.mean)) AS s FROM h, f, n WHERE tf > 0"""
+
+
+@register("text_field_weighted", f"""SELECT doc_id, round(sum(s), 6) AS score FROM (SELECT doc_id, 2.0 * s AS s FROM (WITH {_B.format(field='source', term='web')})
+  UNION ALL SELECT doc_id, s FROM (WITH {_B.format(field='text', term='the')})) GROUP BY doc_id""")
+def _field_weighted(spark, d):
+    docs = table(spark, d, "documents")
+    parts = [(op.bm25(docs, "doc_id", "source", ["web"], "or"), 2.0), (op.bm25(docs, "doc_id", "text", ["the"], "or"), 1.0)]
+    return op.field_scores(parts, "doc_id").withColumn("score", F.round("score", 6))

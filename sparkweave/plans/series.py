@@ -250,3 +250,55 @@ def _alerts(spark, d):
     days = e.groupBy("event_type", op.bucket(F.col("ts"), "1 day").alias("tick")).agg(F.avg("value").alias("v"))
     days = days.join(F.broadcast(e.agg(F.avg("value").alias("m"))))
     return op.breaches(days, ["event_type"], "tick", F.col("v") > F.col("m"), 2, 3).select("event_type", "tick", "state")
+
+
+@register("ts_stddev", "SELECT user_id, round(stddev_samp(value), 6) AS deviation, count(value) AS n FROM events GROUP BY user_id")
+def _stddev(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(F.stddev_samp("value"), 6).alias("deviation"), F.count("value").alias("n"))
+
+
+@register("ts_out_of_order_dedup", """SELECT user_id, date_trunc('hour', ts) AS slot, max(event_id) AS event_id, arg_max(value, event_id) AS value
+  FROM events GROUP BY user_id, date_trunc('hour', ts)""")
+def _late_dedup(spark, d):
+    e = table(spark, d, "events").withColumn("slot", F.date_trunc("hour", "ts"))
+    last = e.groupBy("user_id", "slot").agg(F.max(F.struct("event_id", "value")).alias("m"))
+    return last.select("user_id", "slot", "m.event_id", "m.value")
+
+
+@register("ts_retention_tiers", """WITH m AS (SELECT max(ts) AS last FROM events),
+  t AS (SELECT CASE WHEN ts > last - INTERVAL 1 DAY THEN 'raw' WHEN ts > last - INTERVAL 7 DAY THEN 'hour' ELSE 'day' END AS tier, ts, value FROM events, m)
+  SELECT tier, CASE tier WHEN 'raw' THEN ts WHEN 'hour' THEN date_trunc('hour', ts) ELSE date_trunc('day', ts)::TIMESTAMP END AS at, count(*) AS n, round(sum(value), 6) AS total
+  FROM t GROUP BY ALL""")
+def _tiers(spark, d):
+    e = table(spark, d, "events")
+    e = e.join(F.broadcast(e.agg(F.max("ts").alias("last"))))
+    day = F.expr("INTERVAL 1 DAY")
+    tier = F.when(F.col("ts") > F.col("last") - day, "raw").when(F.col("ts") > F.col("last") - day * 7, "hour").otherwise("day")
+    at = F.when(F.col("tier") == "raw", F.col("ts")).when(F.col("tier") == "hour", F.date_trunc("hour", "ts")).otherwise(F.date_trunc("day", "ts"))
+    return e.withColumn("tier", tier).groupBy("tier", at.alias("at")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@register("ts_sliding_window", """SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type,
+    unnest([time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * i) for i in range(4)]) AS s FROM events) GROUP BY ALL""")
+def _sliding(spark, d):
+    e = table(spark, d, "events").groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return e.select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@register("ts_session_window", """WITH g AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS until, count(*) AS n FROM s GROUP BY user_id, s""")
+def _session(spark, d):
+    e = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return e.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("until"), "n")
+
+
+@register("kv_leaderboard_windows", """WITH t AS (SELECT unit, CASE unit WHEN 'day' THEN date_trunc('day', ts) WHEN 'week' THEN date_trunc('week', ts) ELSE date_trunc('month', ts) END::TIMESTAMP AS start, user_id, value
+    FROM events, (SELECT unnest(['day', 'week', 'month']) AS unit)),
+  s AS (SELECT unit, start, user_id, round(sum(value), 6) AS score FROM t GROUP BY ALL)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit, start ORDER BY score DESC, user_id)::INT AS place FROM s) WHERE place <= 3""")
+def _leaderboards(spark, d):
+    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.date_trunc(u, "ts").alias("start")) for u in ("day", "week", "month")]))
+    s = table(spark, d, "events").select(units.alias("w"), "user_id", "value").groupBy("w.unit", "w.start", "user_id").agg(F.round(F.sum("value"), 6).alias("score"))
+    place = F.row_number().over(W.partitionBy("unit", "start").orderBy(F.desc("score"), "user_id"))
+    return s.withColumn("place", place).filter("place <= 3")

@@ -69,3 +69,49 @@ def _lines(spark, d):
     e = geo.envelope(F.col("line"))
     return l.select("g", F.round(geo.length(F.col("line")), 2).alias("metres"), e["min_x"].alias("min_x"), e["max_y"].alias("max_y"),
                     F.size("line").cast("long").alias("n"))
+
+
+@register("geo_geohash_decode", f"""WITH {_P}, c AS (SELECT k, least(floor((x + 180) / 360 * 8192), 8191)::BIGINT AS cx, least(floor((y + 90) / 180 * 4096), 4095)::BIGINT AS cy FROM p)
+  SELECT k, round((cx + 0.5) / 8192 * 360 - 180, 9) AS x, round((cy + 0.5) / 4096 * 180 - 90, 9) AS y FROM c""")
+def _geohash_decode(spark, d):
+    h = _points(spark, d, "customer", "c_custkey").select("k", geo.geohash(F.col("x"), F.col("y"), 5).alias("h"))
+    at = geo.geohash_decode(F.col("h"), 5)
+    return h.select("k", F.round(at["x"], 9).alias("x"), F.round(at["y"], 9).alias("y"))
+
+
+@register("geo_geohash_neighbors", f"""WITH {_P}, g AS (SELECT k, least(floor((x + 180) / 360 * 8192), 8191)::BIGINT AS gx, least(floor((y + 90) / 180 * 4096), 4095)::BIGINT AS gy FROM p),
+  c AS (SELECT k, e, n, (gx + e + 8192) % 8192 AS cx, gy + n AS cy FROM g, (SELECT unnest([-1, 0, 1]) AS e), (SELECT unnest([-1, 0, 1]) AS n) WHERE e <> 0 OR n <> 0)
+  SELECT k, e AS east, n AS north, {_BITS} AS hash FROM c""")
+def _geohash_neighbors(spark, d):
+    h = _points(spark, d, "customer", "c_custkey").select("k", geo.geohash(F.col("x"), F.col("y"), 5).alias("h"))
+    steps = F.array(*[F.struct(F.lit(e).alias("east"), F.lit(n).alias("north")) for e in (-1, 0, 1) for n in (-1, 0, 1) if e or n])
+    around = h.select("k", "h", F.explode(steps).alias("s")).select("k", "h", "s.*")
+    return around.select("k", "east", "north", geo.geohash_neighbor(F.col("h"), 5, F.col("east"), F.col("north")).alias("hash"))
+
+
+@register("geo_text_formats", f"WITH {_P} SELECT k, x AS wkt_x, y AS wkt_y, x AS json_x, y AS json_y, true AS other_is_null FROM p")
+def _formats(spark, d):
+    x, y = F.col("x"), F.col("y")
+    w, j = geo.point_from_wkt(geo.point_wkt(x, y)), geo.point_from_geojson(geo.point_geojson(x, y))
+    return _points(spark, d, "customer", "c_custkey").select(
+        "k", w["x"].alias("wkt_x"), w["y"].alias("wkt_y"), j["x"].alias("json_x"), j["y"].alias("json_y"),
+        geo.point_from_wkt(F.concat(F.lit("LINE"), geo.point_wkt(x, y))).isNull().alias("other_is_null"),
+    )
+
+
+@register("geo_polygon_measures", f"""WITH {_P} SELECT k, round(2 * 6371000.0 * radians(4.0) + 2 * 6371000.0 * asin(cos(radians(y - 2)) * sin(radians(3.03)))
+    + 2 * 6371000.0 * asin(cos(radians(y + 2)) * sin(radians(3.03))), 2) AS perimeter, 5 AS points, round(x - 3.03, 6) AS min_x, round(y + 2, 6) AS max_y,
+  x - 3.03 >= -180 AND x + 3.03 <= 180 AS valid FROM p""")
+def _measures(spark, d):
+    ring = F.col("ring")
+    p = _points(spark, d, "customer", "c_custkey").withColumn("ring", geo.rectangle(F.col("x"), F.col("y"), 3.03, 2.0))
+    e = geo.envelope(ring)
+    return p.select("k", F.round(geo.length(ring), 2).alias("perimeter"), F.size(ring).alias("points"), F.round(e["min_x"], 6).alias("min_x"),
+                    F.round(e["max_y"], 6).alias("max_y"), geo.is_valid_ring(ring).alias("valid"))
+
+
+@register("geo_intersects", f"WITH {_P} SELECT p.k AS a, s.k AS b FROM p JOIN s ON abs(p.x - s.x) <= 5.03 AND abs(p.y - s.y) <= 4.03")
+def _intersects(spark, d):
+    boxes = lambda name, key, w, h: _points(spark, d, name, key).select("k", geo.rectangle(F.col("x"), F.col("y"), w, h).alias("ring"))
+    out = op.intersecting(boxes("customer", "c_custkey", 3.03, 2.03), boxes("supplier", "s_suppkey", 2.0, 2.0), "k", "ring")
+    return out.select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
