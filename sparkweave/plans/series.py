@@ -100,7 +100,7 @@ def _ema(spark, d):
 
 @register(
     "ts_interpolate_linear",
-    """WITH x AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events WHERE user_id < 20),
+    """WITH x AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events),
        g AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER b AS pt,
              first_value(v IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN v IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER a AS nt
              FROM x WINDOW b AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -109,7 +109,7 @@ def _ema(spark, d):
          ELSE pv + (nv - pv) * ((epoch_us(ts) - pt) / 1e6) / ((nt - pt) / 1e6) END), 4) AS v FROM g""",
 )
 def _interpolate(spark, d):
-    e = table(spark, d, "events").filter("user_id < 20").withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value")))
+    e = table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value")))
     e = e.withColumn("series", F.lit("all"))
     return op.interpolate(e, "ts", "v", ["series"], "event_id").select("event_id", F.round("v", 4).alias("v"))
 

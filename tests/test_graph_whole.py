@@ -41,7 +41,7 @@ def test_whole_tables_against_brute_force(spark, sf):
                 new[b] += 0.85 * rank[a] / len(out[a])
         rank = new
     found = dict(got("pagerank"))
-    assert found.keys() == rank.keys() and all(abs(found[a] - rank[a]) < 1e-9 for a in rank)
+    assert found.keys() == rank.keys() and all(abs(found[a] - rank[a]) < 1e-8 for a in rank)
 
     hops, now = {3: 0}, [3]
     while now:
@@ -76,3 +76,36 @@ def test_whole_tables_against_brute_force(spark, sf):
             new[a] = min(votes, key=lambda x: (-votes[x], x))
         label = new
     assert dict(got("label_propagation")) == label
+
+
+def test_k_core_of_the_lines_against_brute_force(spark, sf):
+    both = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        o, p, s = r["l_orderkey"] * 3, r["l_partkey"] * 3 + 1, r["l_suppkey"] * 3 + 2
+        for a, b in ((o, p), (p, s), (o, s)):
+            both[a].add(b)
+            both[b].add(a)
+    core = {a: set(b) for a, b in both.items()}
+    while weak := [a for a in core if len(core[a]) < 6]:
+        for a in weak:
+            for b in core.pop(a):
+                core.get(b, set()).discard(a)
+    assert sorted(map(tuple, catalog.QUERIES["graph_k_core"](spark, sf).collect())) == sorted((a, b) for a in core for b in core[a])
+
+
+def test_labels_of_small_components(spark, sf):
+    """Customers hung on every seventh: after two rounds a star's nodes alternate between two labels of the star."""
+    keys = [r["c_custkey"] for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
+    both = defaultdict(set)
+    for k in keys:
+        for a, b in ((k, k - k % 7), (k - k % 7, k)):
+            if a != b:
+                both[a].add(b)
+    label = {x: x for k in keys for x in (k, k - k % 7)}
+    for _ in range(10):
+        new = dict(label)
+        for a in both:
+            votes = Counter(label[b] for b in both[a])
+            new[a] = min(votes, key=lambda x: (-votes[x], x))
+        label = new
+    assert {r["node"]: r["label"] for r in catalog.QUERIES["graph_label_propagation"](spark, sf).collect()} == label
